@@ -103,8 +103,9 @@ def ordered_rules() -> list[Rule]:
             for v in versions:
                 exact = f"{label}-{v.replace(' ', '.')}" if "clause" not in v else f"{label}-{v.replace(' ', '-')}"
                 found.append((exact, key, rf"spdx licen[sc]e identifier {name} {v}(?: only| or later)?", 1.0))
-                found.append((exact, key, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{spoken}(?: version| v)? {v}(?: or later| or any later version| only)?", 0.95))
-                found.append((exact, key, rf"{full}(?: as published by the free software foundation)?(?: either)?(?: version| v)? {v}(?: or later| or any later version| only)?", 0.9))
+                found.append((exact, key, rf"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?{spoken}(?: version)? (?:v )?v?{v}(?: or later| or any later version| only)?", 0.95))
+                found.append((exact, key, rf"{full}(?: as published by the free software foundation)?(?: either)?(?: version)? (?:v )?v?{v}(?: or later| or any later version| only)?", 0.9))
+                found.append((exact, key, rf"{name} (?:v )?v?{v}(?: only| or later)? licen[sc]e", 0.9))
                 if "clause" in v:
                     found.append((exact, key, rf"{v} {full}", 0.9))
             found.append((label, key, rf"spdx licen[sc]e identifier {name}", 1.0))
@@ -124,10 +125,8 @@ def ordered_rules() -> list[Rule]:
     return [Rule(k, label, key, pattern, score) for k, (label, key, pattern, score) in enumerate(found)]
 
 
-#: Every rule's match holds one of these.
-STEMS = ("licen", "spdx", "gpl", "cc", "commons", "public domain", "rights", "redistribution", "permission", "warranty", "unencumbered")
-GATE = r"licen[sc]|spdx|\bcc[0 -]|commons|public\s+domain|hereby|rights\s+reserved|redistribution|unencumbered|warranty"
-"""Applied to lower-cased text before any word is cut."""
+GATE = r"licen[sc]|spdx|(?<![a-z0-9])cc0?(?![a-z0-9])|commons|public[^a-z0-9]+domain|hereby|rights[^a-z0-9]+reserved|redistribution|unencumbered|warranty"
+"""Every rule's match holds one of these; applied to lower-cased text before any word is cut."""
 
 
 def _spaces(text: Column) -> Column:

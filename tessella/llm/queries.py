@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, common, licenses, mixing, pii, rules, sharding
+from tessella.llm import bpe, common, licenses, mixing, pii, rules, sharding, toxicity
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 """Folder of the public vocabulary files."""
@@ -22,6 +22,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(TOKENIZER_DIR, name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = common.documents(spark, sf_dir), common.id_bucket(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, common.labels(spark, sf_dir), ~held_out)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "near_ids", "features")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(common.documents(spark, sf_dir), tokenizer_path())
 
@@ -49,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op5_quality_rules, op6_pii, op8_sharding, op9_licenses, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op4_bpe, op5_quality_rules, op6_pii, op8_sharding, op9_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
