@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, common, licenses, mixing, pii, rules, sharding, toxicity
+from tessella.llm import bpe, common, licenses, lines, mixing, pii, rules, sharding, toxicity
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 """Folder of the public vocabulary files."""
@@ -42,6 +42,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_disguised")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = common.documents(spark, sf_dir), common.id_bucket(F.col("doc_id"), 3) == 1
+    model = lines.fit(docs, common.labels(spark, sf_dir), ~held_out)
+    scored = lines.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("good_lines").alias("n_lines"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.assign_shards(common.documents(spark, sf_dir), 40)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -56,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_bpe, op5_quality_rules, op6_pii, op8_sharding, op9_licenses, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op4_bpe, op5_quality_rules, op6_pii, op7_quality, op8_sharding, op9_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
