@@ -21,6 +21,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -203,36 +204,30 @@ class _Model:
         return self.shared.value
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, *, keep_text: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded`` of every whole text; ``ids`` is an int array.
+def encode_documents(docs: DataFrame, tokenizer_path: str, *, keep_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text.
 
-    With ``keep_text=False`` the ids and the decoded text are replaced by their
-    digests ``ids_sha256`` and ``decoded_sha256``, which is all that leaves Python.
-    ``tokenizer_path`` is read by the driver and broadcast.
+    With ``keep_ids`` the ids themselves, ``ids array<int>``, stand in the place of
+    their digest. ``tokenizer_path`` is read by the driver and broadcast.
     """
     spark = docs.sparkSession
     common.ship(spark)
     model = _Model(spark, tokenizer_path)
+    kind, name = (pa.list_(pa.int32()), "ids") if keep_ids else (pa.string(), "ids_sha256")
 
     def run(batches):
         coder = _coder(model)
-        for batch in common.slices(batches):
-            rows = []
+        for batch in common.slices(batches, 64 if keep_ids else common.ROWS_AT_ONCE):
+            counts, encoded, decoded = [], [], []
             for text in batch.column(1).to_pylist():
                 n, ids, data = coder.round_trip(text)
-                decoded = data.decode("utf-8", "replace")
-                if keep_text:
-                    rows.append((n, [int(i) for i in ids.split(",")] if ids else [], decoded))
-                else:
-                    rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            counts, a, b = zip(*rows, strict=True)
-            kind = pa.list_(pa.int32()) if keep_text else pa.string()
-            names = ["doc_id", "n_tokens", *(("ids", "decoded") if keep_text else ("ids_sha256", "decoded_sha256"))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a, kind), pa.array(b, pa.string())], names)
-
-    rest = "ids array<int>, decoded string" if keep_text else "ids_sha256 string, decoded_sha256 string"
+                counts.append(n)
+                encoded.append((np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)) if keep_ids else hashlib.sha256(ids.encode()).hexdigest())
+                decoded.append(hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, kind), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", name, "decoded_sha256"])
+
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id long, n_tokens long, {rest}")
+    return source.mapInArrow(run, f"doc_id long, n_tokens long, {'ids array<int>' if keep_ids else 'ids_sha256 string'}, decoded_sha256 string")
 
 
 def decode_ids(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

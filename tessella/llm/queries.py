@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, common, licenses, lines, mixing, near_dup, pii, rules, sharding, toxicity
+from tessella.llm import bpe, common, embedding_dup, licenses, lines, mixing, near_dup, pii, rules, sharding, toxicity
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 """Folder of the public vocabulary files."""
@@ -33,6 +33,10 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(common.documents(spark, sf_dir))
 
 
+def op3_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dup.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(common.documents(spark, sf_dir), tokenizer_path())
 
@@ -67,8 +71,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dup, op4_bpe, op5_quality_rules, op6_pii, op7_quality, op8_sharding, op9_licenses, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dup, op3_embedding_dup, op4_bpe, op5_quality_rules, op6_pii, op7_quality, op8_sharding, op9_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dup": near_dup.SQL, "op10_mixing": mixing.SQL}
+    return {"op2_near_dup": near_dup.SQL, "op3_embedding_dup": embedding_dup.SQL, "op10_mixing": mixing.SQL}
