@@ -83,9 +83,13 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write the documents as Parquet folders ``shard=N``, each in the order of ``slot``."""
-    payload = [c for c in docs.columns if c not in ("doc_id", "size", "text_crc32")]
+    """Write the documents as Parquet folders ``shard=N``, each in the order of ``slot``.
+
+    A column of the documents that is itself called shard or slot gets ``_1`` added.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *payload)
+    record = F.struct(*(F.col(c).alias(f"{c}_1" if c.lower() in ("shard", "slot") else c) for c in docs.columns))
+    records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + OVERHEAD).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), record.alias("record"))
     dealt = deal(common.materialize(records), shards)
-    dealt.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    rows.select("record.*", "shard", "slot").write.partitionBy("shard").parquet(path)
