@@ -62,7 +62,7 @@ def detect_encoding(data: bytes) -> str:
     for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
         if data.startswith(mark):
             return name
-    for cut in range(4):  # the sample may end within a character
+    for cut in range(4 if len(data) >= SNIFF_BYTES else 1):  # a sample may end within a character
         try:
             data[: len(data) - cut].decode("utf-8")
             return "UTF-8"
