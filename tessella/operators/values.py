@@ -11,7 +11,7 @@ from tessella.formula.compile import Compiler, literal
 from tessella.functions.casts import cast_cell, half_up, text_of, trim
 from tessella.functions.scalar import clean, fingerprint, ngram_fingerprint, proper, strip_marks
 from tessella.operators.base import step
-from tessella.relation import ORDER, Cell
+from tessella.relation import BLOCK_BITS, ORDER, Cell
 from tessella.types import StepError
 
 
@@ -19,7 +19,7 @@ def _fill(r, cols, down: bool):
     """The nearest value before (or after) in row order. Rows are dealt with in blocks of the
     scan's ids: a block gets the last value of all earlier blocks, so no task sees all rows."""
     r.need(cols)
-    df = r.df.withColumn("__block", F.shiftright(F.element_at(ORDER, 1), 24))
+    df = r.df.withColumn("__block", F.shiftright(F.element_at(ORDER, 1), BLOCK_BITS))
     cells = dict(r.cells(cols))
     pair = {n: F.when(x.value.isNotNull() | x.failed, F.struct(x.value.alias("v"), (F.lit(None).cast("string") if x.err is None else x.err).alias("e"))) for n, x in cells.items()}
     pick = F.max_by if down else F.min_by

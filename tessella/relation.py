@@ -18,6 +18,8 @@ from tessella.types import SPARK_TYPES, StepError, closest, logical_type
 
 ORDER = "__ord"
 ERROR = "__err_"
+BLOCK_BITS = 16
+"""Rows whose order ids agree above these bits are numbered together."""
 
 
 def ref(name: str) -> Column:
@@ -45,8 +47,8 @@ class Relation:
     errors: frozenset[str] = frozenset()
 
     @classmethod
-    def of(cls, df: DataFrame, ordered: bool = True) -> Relation:
-        """A DataFrame as it comes; its rows are ordered as they are read."""
+    def of(cls, df: DataFrame, ordered: bool = True, order: Column | None = None) -> Relation:
+        """A DataFrame as it comes; its rows are ordered as they are read, unless ``order`` says how."""
         types = {f.name: logical_type(f.dataType) for f in df.schema.fields}
         columns = []
         for f in df.schema.fields:
@@ -58,7 +60,8 @@ class Relation:
             elif f.dataType != SPARK_TYPES[kind]:
                 c = c.cast(SPARK_TYPES[kind])
             columns.append(c.alias(f.name))
-        order = F.array(F.monotonically_increasing_id()) if ordered else F.array(F.lit(0).cast("long"))
+        if order is None:
+            order = F.array(F.monotonically_increasing_id()) if ordered else F.array(F.lit(0).cast("long"))
         return cls(df.select(*columns, order.alias(ORDER)), types)
 
     @property
@@ -118,7 +121,7 @@ class Relation:
         Rows fall into the blocks of the ids that a scan deals out by partition; blocks
         are counted, their counts are summed, and rows are numbered within their block.
         """
-        df = self.df.withColumn("__block", F.shiftright(F.element_at(ORDER, 1), 24))
+        df = self.df.withColumn("__block", F.shiftright(F.element_at(ORDER, 1), BLOCK_BITS))
         counts = df.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
         upto = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.select("__block", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__start"))

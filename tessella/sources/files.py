@@ -9,6 +9,7 @@ import json
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -179,8 +180,25 @@ def read_json(spark: SparkSession, path: str) -> Relation:
     return Relation.of(df.select(*map(ref, columns)))
 
 
+ORDERED_FILES = 256
+"""Up to so many files, Parquet rows are ordered by their place in the file."""
+
+
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> Relation:
-    r = Relation.of(spark.read.parquet(path))
+    """Rows are ordered by file name and place in the file, which filters can be pushed below.
+
+    Where there are many files, or files of one name, ids dealt out by the scan give the order.
+    """
+    df = spark.read.parquet(path)
+    names = sorted(unquote(f.rsplit("/", 1)[-1]) for f in df.inputFiles())
+    r = None
+    if 0 < len(names) <= ORDERED_FILES and len(set(names)) == len(names) and "_metadata" not in df.columns:
+        at = F.col("_metadata.row_index")
+        if len(names) > 1:
+            table = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k << 40))))
+            at = at + F.coalesce(F.try_element_at(table, F.col("_metadata.file_name")), F.lit(0))
+        r = Relation.of(df, order=F.array(at))
+    r = r or Relation.of(df)
     return r.select(columns) if columns else r
 
 
