@@ -1,8 +1,8 @@
 """Personal data, found in the text as written and behind disguises.
 
 Four base patterns run on the text itself. A chain of transducers then rewrites
-disguises (look-alike and full-width characters, invisible characters, spelled
-digits, at/dot words and brackets) into plain ASCII, keeping for each character of
+disguises (look-alike and full-width characters, letters among digits, invisible
+characters, spelled digits, at/dot words and brackets) into plain ASCII, keeping for each character of
 the rewritten text the source characters that it stands for. The same detectors
 run on the rewritten text, and what they find is mapped back to source spans.
 Spans that touch no rewritten character add nothing, nor do those that overlap a
@@ -190,15 +190,31 @@ def fold_spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+#: Letters that stand in for digits.
+DIGIT_LETTERS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+MIXED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OolI](?:[ .()-]{0,2}[0-9OolI]){6,}(?![A-Za-z0-9])")
+
+
+def fold_letters(text: str) -> list[tuple[int, int, str]]:
+    """Edits for letters among digits, in runs of which two thirds or more are digits."""
+    edits = []
+    for m in MIXED.finditer(text):
+        marks = [i for i in range(m.start(), m.end()) if text[i] in DIGIT_LETTERS]
+        if marks and len(DIGITS.findall(m[0])) >= 2 * len(marks):
+            edits += [(i, i + 1, DIGIT_LETTERS[text[i]]) for i in marks]
+    return edits
+
+
 DISGUISES = (
     (lambda t: not t.isascii(), fold_characters),
     (lambda t: AT_SIGN.search(t) is not None or DOT_SIGN.search(t) is not None, lambda t: sorted([(*m.span(), "@") for m in AT_SIGN.finditer(t)] + [(*m.span(), ".") for m in DOT_SIGN.finditer(t)])),
     (lambda t: "dot" in t.lower(), fold_bare),
     (lambda t: True, fold_spelled),
+    (lambda t: True, fold_letters),
 )
 
 #: A text in which none of these occurs has no disguise.
-HINTS = re.compile(rf"[^\x00-\xff]|\xad|{OPEN}\s{{0,2}}(?:at|@|dot|\.)\s{{0,2}}{CLOSE}|\sdot\s|\b{NUMBER}[\s,.()-]{{1,3}}(?:{NUMBER}|double|triple|dot|point|[0-9])", re.I)
+HINTS = re.compile(rf"[^\x00-\xff]|\xad|{OPEN}\s{{0,2}}(?:at|@|dot|\.)\s{{0,2}}{CLOSE}|\sdot\s|[0-9][ .()-]{{0,2}}[OolI][ .()-]{{0,2}}[0-9]|[0-9][OolI](?![A-Za-z])|(?<![A-Za-z])[OolI][0-9]{{2}}|\b{NUMBER}[\s,.()-]{{1,3}}(?:{NUMBER}|double|triple|dot|point|[0-9])", re.I)
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
