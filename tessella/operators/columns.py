@@ -188,12 +188,9 @@ def builder_formula(b) -> str:
     def lit(x, numeric=True):
         if x in ("", None):
             return "null"
-        try:
-            n = float(x)
-            if numeric is not False and not isinstance(x, bool):
-                return str(int(n)) if n.is_integer() else repr(n)
-        except (TypeError, ValueError):
-            pass
+        number = re.fullmatch(r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*", str(x), re.A)
+        if number and numeric is not False and abs(n := float(x)) < float("inf"):
+            return str(int(n)) if n.is_integer() else repr(n)
         return f'Date.From("{x}")' if re.fullmatch(r"\d{4}-\d{2}-\d{2}", str(x)) else quote_text(str(x))
 
     parts = []
