@@ -175,12 +175,18 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the candidates, written once for all comparisons.
+
+    Candidates are a share of the corpus that does not shrink as it grows, so the join
+    is planned as a shuffle, whatever the size: the texts move once.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return common.materialize(texts.hint("merge").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs ``a, b`` whose whole texts pass the exact test."""
-    pairs = common.materialize(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    texts = common.materialize(texts)
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return common.materialize(with_b.mapInArrow(_verify, "a long, b long"))
@@ -252,7 +258,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = common.materialize(buckets)
     rows = common.materialize(bands.join(buckets, "h"))
     fits = f"{SHARE[1]} * least(n, lead_n) >= {SHARE[0]} * greatest(n, lead_n)"
-    first = verified(docs, rows.where(f"id <> lead and {fits}").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
+    texts = candidate_texts(docs, rows.select("id").distinct())
+    first = verified(texts, rows.where(f"id <> lead and {fits}").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
     groups = components(first)
 
     # buckets of three or more that still hold several components
@@ -269,7 +276,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         split = rest.where(f"m > {SPLIT_ROWS}").select("h", "id", "comp", "n", "sig").mapInArrow(_split, "h long, h2 long, id long, comp long, n long")
         split = split.join(by_id, "id").select("h", "h2", "id", "comp", "n", "sig")
         found = small.unionByName(split).repartition("h", "h2").sortWithinPartitions("h", "h2").mapInArrow(_near_across, "a long, b long")
-        second = verified(docs, found.distinct())
+        second = verified(texts, common.materialize(found.distinct()))
         if not second.isEmpty():
             links = first.unionByName(second)
             groups = components(links)
