@@ -34,9 +34,10 @@ from tessella.llm.components import components, find_roots
 THRESHOLD = 0.98
 SAMPLE = 4_096
 """Vectors that the codebooks are fitted on."""
-CODES = 16
-"""Codes of a half; fewer if the sample is small."""
 BLOCK = 256
+MOST_CODES = 64
+"""Codes of a half. As many are used as give a label's cells about a block of rows each:
+with smaller cells a vector has to be sent to more of them than comparing saves."""
 
 
 def prepared(table: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ class MultiIndex:
     cut: int
 
     @classmethod
-    def train(cls, x: np.ndarray, codes: int = CODES) -> MultiIndex:
+    def train(cls, x: np.ndarray, codes: int) -> MultiIndex:
         cut = x.shape[1] // 2
         k = max(1, min(codes, len(x) // 8))
         return cls((kmeans(x[:, :cut], k), kmeans(x[:, cut:], k)), cut)
@@ -191,7 +192,9 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD) -> Da
     by_dim: dict[int, list[bytes]] = {}
     for r in sample:
         by_dim.setdefault(r["dim"], []).append(bytes(r["vec"]))
-    index = spark.sparkContext.broadcast({d: MultiIndex.train(unit(v)) for d, v in by_dim.items()})
+    rows_each = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("n")).first()["n"] or 0
+    codes = int(min(MOST_CODES, max(2, round((rows_each / BLOCK) ** 0.5))))
+    index = spark.sparkContext.broadcast({d: MultiIndex.train(unit(v), codes) for d, v in by_dim.items()})
     radius2 = 2 - 2 * threshold + 1e-9
 
     def place(batches):
