@@ -42,8 +42,10 @@ SLOTS, BANDS = 128, 32
 SHARE = (75, 100)
 """Threshold as a fraction: links have 100 * intersection >= 75 * union."""
 SLACK = 0.2
-SPLIT_ROWS = 512
-"""Buckets with more classes than these are split by other bands before the second comparison."""
+SPLIT_ROWS = 4_096
+"""Buckets with more classes than these are split by other bands before the second comparison.
+
+Splitting copies a class to 31 rows; up to this size, comparing by blocks costs less."""
 BLOCK = 256
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
