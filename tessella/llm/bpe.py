@@ -32,7 +32,7 @@ from tessella.llm import common
 #: Fixed pattern of the vocabulary's pre-tokenizer.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHE_PIECES = 250_000
+CACHE_PIECES = 80_000
 """Pieces whose encoding a Python worker remembers, and as many used before those."""
 
 CACHE_CHARS = 40

@@ -25,8 +25,17 @@ _shipped: set[str] = set()
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers of every executor, once per application."""
+    """Make this package importable in Python workers of every executor, once per application.
+
+    Rows here are whole texts, so Arrow batches get 1,024 rows at most, unless the
+    session already says how many.
+    """
+    if spark.conf.get(BATCH_ROWS, None) is None:
+        spark.conf.set(BATCH_ROWS, "1024")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
