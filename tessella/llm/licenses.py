@@ -125,7 +125,7 @@ def ordered_rules() -> list[Rule]:
     return [Rule(k, label, key, pattern, score) for k, (label, key, pattern, score) in enumerate(found)]
 
 
-GATE = r"licen[sc]|spdx|(?<![a-z0-9])cc0?(?![a-z0-9])|commons|public[^a-z0-9]+domain|hereby|rights[^a-z0-9]+reserved|redistribution|unencumbered|warranty"
+GATE = r"licen[sc]|spdx|(?:released|distributed|available|published)[^a-z0-9]+under(?![a-z0-9])|(?<![a-z0-9])cc0?(?![a-z0-9])|commons|public[^a-z0-9]+domain|hereby|rights[^a-z0-9]+reserved|redistribution|unencumbered|warranty"
 """Every rule's match holds one of these; applied to lower-cased text before any word is cut."""
 
 

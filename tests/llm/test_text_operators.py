@@ -196,3 +196,44 @@ def test_licenses_by_hand(spark):
         assert tuple(r)[1:7] == licenses_by_hand(texts[r["doc_id"]]), texts[r["doc_id"]]
         assert 0 <= r["score"] <= 1
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def samples(pattern):
+    """Texts that a rule's pattern matches: each alternative once, optional parts both in and out."""
+
+    def expand(tree):
+        out = [""]
+        for op, arg in tree:
+            if op is re._constants.LITERAL:
+                parts = [chr(arg)]
+            elif op is re._constants.IN:
+                parts = [chr(c) for _, c in arg]
+            elif op is re._constants.BRANCH:
+                parts = [x for branch in arg[1] for x in expand(branch)]
+            elif op is re._constants.SUBPATTERN:
+                parts = expand(arg[3])
+            else:
+                assert op is re._constants.MAX_REPEAT and arg[:2] == (0, 1)
+                parts = ["", *expand(arg[2])]
+            # as many texts as the longer list holds, so that they don't multiply
+            out = [out[k % len(out)] + parts[k % len(parts)] for k in range(max(len(out), len(parts)))]
+        return out
+
+    return expand(re._parser.parse(pattern))
+
+
+def test_every_license_rule_passes_the_gate():
+    for r in licenses.ordered_rules():
+        for text in samples(r.pattern):
+            assert re.fullmatch(r.pattern, text), (r.pattern, text)
+            assert r.keyword in text.split(), (r.keyword, text)
+            assert re.search(licenses.GATE, text) and re.search(licenses.GATE, text.replace(" ", "--")), text
+
+
+def test_licenses_named_without_the_word(spark):
+    texts = ["Released under the GPL v3", "distributed under the terms of the LGPL 2.1 or later", "available under the Apache 2.0", "Published\nunder BSD", "under CC BY-NC 4.0", "placed in the Public-Domain", "All rights reserved", "released underwater by GPL"]
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        assert tuple(got[k])[1:7] == licenses_by_hand(t), t
+    assert [got[k]["labels"] for k in range(8)] == ["gpl-3", "lgpl-2.1", "apache-2.0", "bsd", "cc-by-nc-4.0", "public-domain", "proprietary", ""]
+    assert got[0]["score"] == 0.95 and got[7]["score"] == 0
