@@ -213,8 +213,9 @@ DISGUISES = (
     (lambda t: True, fold_letters),
 )
 
-#: A text in which none of these occurs has no disguise.
-HINTS = re.compile(rf"[^\x00-\xff]|\xad|{OPEN}\s{{0,2}}(?:at|@|dot|\.)\s{{0,2}}{CLOSE}|\sdot\s|[0-9][ .()-]{{0,2}}[OolI][ .()-]{{0,2}}[0-9]|[0-9][OolI](?![A-Za-z])|(?<![A-Za-z])[OolI][0-9]{{2}}|\b{NUMBER}[\s,.()-]{{1,3}}(?:{NUMBER}|double|triple|dot|point|[0-9])", re.I)
+#: A text in which none of these occurs has no disguise. A match of MIXED with a letter and a digit
+#: has the two side by side, and the letter's run of letters and digits is of MIXED's characters only.
+HINTS = re.compile(rf"[^\x00-\xff]|[\xad\xb2\xb3\xb9]|{OPEN}\s{{0,2}}(?:at|@|dot|\.)\s{{0,2}}{CLOSE}|\sdot\s|(?-i:[0-9][ .()-]{{0,2}}[OolI][0-9OolI]*(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9OolI]*[OolI][ .()-]{{0,2}}[0-9])|\b{NUMBER}[\s,.()-]{{1,3}}(?:{NUMBER}|double|triple|dot|point|[0-9])", re.I)
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:

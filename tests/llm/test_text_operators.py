@@ -104,6 +104,33 @@ def test_pii_behind_disguises(text, kind, found):
     assert (kind, found) in [(k, text[s:e]) for k, s, e in pii.disguised(text, base)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("+1 8OO 555 1234", "phone"), ("4111 11ll 1111 1111", "card"), ("41ll 1111 1111 1111", "card"), ("4111-1111-1111-ll11", "card"), ("4111 1111 1111 111¹", "card")],
+)
+def test_pii_with_adjacent_letters(text, kind):
+    assert pii.disguised(f"call {text}, ok", []) == [(kind, 5, 5 + len(text))]
+
+
+def test_pii_hints_cover_all_disguises():
+    random.seed(2)
+    parts = ["dot", " dot ", "at", " at ", "@", "[", "]", "(", ")", ".", " ", "  ", "-", "+", ",", "one", "two ", "oh-", "double ", "plus ", "point ", "com", "jane", "\xad", "²", "é", "о"]
+    edited = 0
+    for k in range(100_000):
+        if k % 2:
+            t = "".join(random.choice("0123456789123456OolI  .()-+x,") for _ in range(random.randint(7, 24)))
+        else:
+            t = "".join(random.choice(parts) for _ in range(random.randint(1, 14)))
+        tape = pii.Tape(t)
+        for may, edits in pii.DISGUISES:
+            if may(tape.text):
+                tape = tape.rewrite(edits(tape.text))
+        if tape.text != t:
+            edited += 1
+            assert pii.HINTS.search(t), t
+    assert edited > 10_000
+
+
 @pytest.mark.parametrize("text", ["look at the dot com boom", "we met at noon. one two three", "see section 1.2.3 and 4", "", "meet at five", "Москва и область", "Oil 10 lo 20 Io", "in 2010 I saw 300 lions and 20 oxen"])
 def test_pii_leaves_plain_text_alone(text):
     assert pii.detect(text) == [] and pii.disguised(text, []) == []
