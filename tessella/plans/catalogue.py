@@ -178,6 +178,7 @@ def _entries() -> dict[str, Entry]:
     q["group_first_last"] = Entry("events", [HOLES, by_id, group(["user_id"], agg("first", "v", "f"), agg("last", "event_type", "l"))], f"SELECT user_id, arg_min_null(v, event_id) AS f, arg_max(event_type, event_id) AS l FROM {HOLES_SQL} GROUP BY 1")
     q["group_concat"] = Entry("nation", [step("Sort", by=[{"col": "n_nationkey"}]), group(["n_regionkey"], agg("concat", "n_name", "names", sep="; "))], "SELECT n_regionkey::BIGINT n_regionkey, string_agg(n_name, '; ' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
     q["group_global"] = Entry("orders", [where("[o_orderkey] < 0"), group([], agg("count_rows", name="n"), agg("sum", "o_totalprice", "s"))], "SELECT count(*) AS n, sum(o_totalprice) AS s FROM orders WHERE o_orderkey < 0")
+    q["group_global_all"] = Entry("orders", [group([], agg("count_rows", name="n"), agg("sum", "o_totalprice", "s"))], "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders", digits=2)
     # ---- windows
     over = "PARTITION BY user_id ORDER BY event_id"
     for suffix, part, o in (("", ["user_id"], over), ("_all", None, "ORDER BY event_id")):
@@ -208,6 +209,7 @@ def _entries() -> dict[str, Entry]:
     q["unpivot"] = Entry("part", [select("p_partkey", "p_size", "p_retailprice"), step("Unpivot", ids=["p_partkey"], var="attr", val="x")], "SELECT p_partkey, 'p_size' AS attr, p_size::DOUBLE AS x FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
     q["pivot_sum"] = Entry("events", [step("Pivot", on="event_type", values="value", agg="sum", index=["user_id"], keys=["click", "view", "purchase"])], "SELECT user_id, round(sum(value) FILTER (event_type = 'click'), 4) AS click, round(sum(value) FILTER (event_type = 'view'), 4) AS view, round(sum(value) FILTER (event_type = 'purchase'), 4) AS purchase FROM events GROUP BY 1", digits=4)
     q["pivot_count_null"] = Entry("orders", [where("[o_custkey] <= 40"), step("Pivot", on="o_orderstatus", agg="count_rows", index=["o_custkey"]), select("o_custkey", "F", "O", "P")], "SELECT o_custkey, nullif(count_if(o_orderstatus = 'F'), 0) AS \"F\", nullif(count_if(o_orderstatus = 'O'), 0) AS \"O\", nullif(count_if(o_orderstatus = 'P'), 0) AS \"P\" FROM orders WHERE o_custkey <= 40 GROUP BY 1")
+    q["pivot_count_all"] = Entry("orders", [step("Pivot", on="o_orderstatus", agg="count_rows", index=["o_custkey"]), select("o_custkey", "F", "O", "P")], "SELECT o_custkey, nullif(count_if(o_orderstatus = 'F'), 0) AS \"F\", nullif(count_if(o_orderstatus = 'O'), 0) AS \"O\", nullif(count_if(o_orderstatus = 'P'), 0) AS \"P\" FROM orders GROUP BY 1")
     q["pivot_text_first"] = Entry("nation", [step("Sort", by=[{"col": "n_nationkey"}]), add("side", 'if [n_nationkey] < 12 then "low" else "high"'), step("Pivot", on="side", values="n_name", agg="first", index=["n_regionkey"])], "SELECT n_regionkey::BIGINT n_regionkey, arg_min(n_name, n_nationkey) FILTER (n_nationkey < 12) AS low, arg_min(n_name, n_nationkey) FILTER (n_nationkey >= 12) AS high FROM nation GROUP BY 1")
     q["transpose_small"] = Entry("region", [step("Sort", by=[{"col": "r_regionkey"}]), step("Transpose", headerCol="r_name")], "SELECT 'r_regionkey' AS \"Name\", '0' AS \"AFRICA\", '1' AS \"AMERICA\", '2' AS \"ASIA\", '3' AS \"EUROPE\", '4' AS \"MIDDLE EAST\"")
     # ---- formula functions, by family

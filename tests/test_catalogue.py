@@ -36,3 +36,16 @@ def test_query(spark, duck, small, name):
     assert sorted(names) == columns
     want = sorted(tuple(norm(x[names.index(c)]) for c in columns) for x in got.fetchall())
     assert rows == want
+
+
+def test_pivot_and_global_aggregate_of_all_orders(spark, small):
+    orders = spark.read.parquet(f"{small}/orders.parquet").collect()
+    counts = {}
+    for o in orders:
+        at = counts.setdefault(o["o_custkey"], dict.fromkeys("FOP"))
+        at[o["o_orderstatus"]] = (at[o["o_orderstatus"]] or 0) + 1
+    got = catalogue.queries()["pivot_count_all"](spark, small).collect()
+    assert len(got) == len(counts) > 40
+    assert {r["o_custkey"]: {k: r[k] for k in "FOP"} for r in got} == counts
+    [total] = catalogue.queries()["group_global_all"](spark, small).collect()
+    assert total["n"] == len(orders) > 0 and math.isclose(total["s"], sum(o["o_totalprice"] for o in orders), abs_tol=0.01)
