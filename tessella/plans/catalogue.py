@@ -217,6 +217,7 @@ def _entries() -> dict[str, Entry]:
     q["fn_text_2"] = Entry("pages", [add("a", 'Text.BeforeDelimiter([url], "/")'), add("b", 'Text.AfterDelimiter([url], "//")'), add("c", 'Text.RegexExtract([url], "^(\\w+)://([^/]+)", 2)'), add("d", 'Text.RegexReplace([url], "[0-9]+", "#")'), add("e", 'Text.RegexMatch([url], "[0-9]$")'), add("f", 'Text.Contains([html], "<p") and Text.StartsWith([url], "http")'), select("page_id", "a", "b", "c", "d", "e", "f")], r"SELECT page_id, split_part(url, '/', 1) a, CASE WHEN contains(url, '//') THEN substr(url, instr(url, '//') + 2) ELSE '' END b, nullif(regexp_extract(url, '^(\w+)://([^/]+)', 2), '') c, regexp_replace(url, '[0-9]+', '#', 'g') d, regexp_matches(url, '[0-9]$') e, contains(html, '<p') AND starts_with(url, 'http') f FROM pages")
     q["fn_text_3"] = Entry("nation", [add("a", "Text.Proper([n_name])"), add("b", 'Text.Repeat([n_name], 2)'), add("c", 'Text.Combine([n_name], null, "-", [n_regionkey])'), add("d", 'Text.Trim("  " & [n_name] & " ")'), add("e", 'Text.Similarity([n_name], "GERMANY")'), select("n_nationkey", "a", "b", "c", "d", "e")], "SELECT n_nationkey::BIGINT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') a, repeat(n_name, 2) b, n_name || '-' || n_regionkey c, n_name d, round(1 - levenshtein(lower(n_name), 'germany') / greatest(length(n_name), 7)::DOUBLE, 9) e FROM nation", digits=9)
     q["fn_text_marks"] = Entry("documents", [add("a", "Text.RemoveDiacritics(Text.Start([text], 60))"), add("b", "Text.Fingerprint(Text.Start([source], 10))"), select("doc_id", "a", "b")], "SELECT doc_id, replace(strip_accents(left(text, 60)), '', '') a, lower(source) b FROM documents")
+    q["fn_text_marks_whole"] = Entry("documents", [add("a", "Text.RemoveDiacritics([text])"), add("b", "Text.Fingerprint([source])"), select("doc_id", "a", "b")], "SELECT doc_id, strip_accents(text) a, lower(source) b FROM documents")
     q["fn_number"] = Entry("lineitem", [add("a", "Number.Round([l_extendedprice], 1)"), add("b", "Number.RoundUp([l_tax] * 100)"), add("c", "Number.Mod([l_quantity], 7)"), add("d", "Number.IntegerDivide([l_quantity], 4)"), add("e", "Number.Sign([l_quantity] - 25)"), add("f", "Number.Clamp([l_quantity], 10, 30)"), add("g", "Number.Sqrt([l_quantity]) + Number.Power([l_quantity], 2) + Number.Abs(0 - [l_quantity])"), add("h", "Number.Log([l_quantity])"), select("l_orderkey", "a", "b", "c", "d", "e", "f", "g", "h")], "SELECT l_orderkey, round_even(l_extendedprice * 10.0::DOUBLE, 0) / 10.0::DOUBLE a, ceil(l_tax * 100)::BIGINT b, l_quantity % 7 c, floor(l_quantity / 4)::BIGINT d, sign(l_quantity - 25)::BIGINT e, least(30.0::DOUBLE, greatest(10.0::DOUBLE, l_quantity)) f, round(sqrt(l_quantity) + l_quantity * l_quantity + l_quantity, 6) g, round(ln(l_quantity), 6) h FROM lineitem", digits=6)
     q["fn_number_from"] = Entry("orders", [*DIRTY, add("n", "try Number.From([raw]) otherwise -1"), add("e", "Value.IsError(Number.From([raw]))"), select("o_orderkey", "n", "e")], f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN -1::DOUBLE ELSE {NUM} END n, o_orderkey % 5 = 0 AS e FROM {DIRTY_SQL}")
     d = "o_orderdate"
@@ -255,6 +256,8 @@ def _entries() -> dict[str, Entry]:
     q["cluster_fingerprint"] = Entry("orders", [messy, step("ClusterValues", col="c", auto=True), group(["c"], agg("count_rows", name="n"))], f"SELECT CASE WHEN c = 'Boston' THEN c ELSE (SELECT c FROM (SELECT {messy_sql} AS c, count(*) AS k FROM orders GROUP BY 1) WHERE c <> 'Boston' ORDER BY k DESC, c LIMIT 1) END AS c, count(*) AS n FROM (SELECT {messy_sql} AS c FROM orders) GROUP BY 1")
     q["cluster_ngram"] = Entry("orders", [messy], None, last=lambda r, e: clusters(r, "c", "ngram").select("key", "canonical", "rows", F.size("variants").alias("n")))
     q["similarity"] = Entry("benchmark", [add("t", 'Text.Start(Text.RegexReplace([text], "[^ -~]", ""), 30)'), add("s", 'Text.Similarity([t], "the quick brown fox jumps over")'), select("item_id", "s")], "SELECT item_id, round(1 - levenshtein(lower(t), 'the quick brown fox jumps over') / greatest(length(t), 30)::DOUBLE, 9) AS s FROM (SELECT item_id, left(regexp_replace(text, '[^ -~]', '', 'g'), 30) AS t FROM benchmark)", digits=9)
+    # DuckDB's levenshtein counts bytes: whole texts are compared by brute force in the tests
+    q["similarity_whole"] = Entry("benchmark", [add("s", 'Text.Similarity([text], "the quick brown fox jumps over")'), select("item_id", "s")], digits=9)
     # ---- order
     q["sort_multi_nulls_last"] = Entry("events", [HOLES, step("Sort", by=[{"col": "v", "desc": True}, {"col": "event_id"}]), step("IndexColumn", name="ix", start=1), select("event_id", "ix")], f"SELECT event_id, row_number() OVER (ORDER BY v DESC NULLS LAST, event_id) AS ix FROM {HOLES_SQL}")
     q["sort_natural"] = Entry("customer", [step("Sort", by=[{"col": "c_name"}]), step("IndexColumn", name="ix", start=1), select("c_name", "ix")], None, collation="natural")

@@ -1,8 +1,11 @@
 """Every query of the catalogue against DuckDB."""
 
 import math
+import unicodedata
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tessella.plans import catalogue
@@ -49,3 +52,35 @@ def test_pivot_and_global_aggregate_of_all_orders(spark, small):
     assert {r["o_custkey"]: {k: r[k] for k in "FOP"} for r in got} == counts
     [total] = catalogue.queries()["group_global_all"](spark, small).collect()
     assert total["n"] == len(orders) > 0 and math.isclose(total["s"], sum(o["o_totalprice"] for o in orders), abs_tol=0.01)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similarity_of_whole_texts(spark, small, tmp_path):
+    phrase = "the quick brown fox jumps over"
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    assert max(map(len, texts)) > 300
+    texts += [phrase, phrase.upper() + "!", "", "é日本🙂 " * 40, "the quick brown fox " * 500, "x" * 60 + phrase]
+    pq.write_table(pa.table({"item_id": range(len(texts)), "text": texts}), tmp_path / "benchmark.parquet")
+    got = {r["item_id"]: r["s"] for r in catalogue.queries()["similarity_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        t = t.lower()
+        assert math.isclose(got[k], 1 - edit_distance(t, phrase) / max(len(t), len(phrase)), abs_tol=1e-9), t
+
+
+def test_marks_of_whole_texts(spark, tmp_path):
+    texts = ["plain " * 20 + "é", "x" * 100_000 + " Ångström", "e\u0301" * 70, "", None]
+    sources = ["Web-Crawl, über  web", "a long source name of more than ten characters", "b a", "", None]
+    pq.write_table(pa.table({"doc_id": range(5), "text": texts, "source": sources}), tmp_path / "documents.parquet")
+    got = {r["doc_id"]: r for r in catalogue.queries()["fn_text_marks_whole"](spark, str(tmp_path)).collect()}
+    for k, t in enumerate(texts):
+        assert got[k]["a"] == (None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
+    assert [got[k]["b"] for k in range(5)] == ["crawl uber web", "a characters long more name of source ten than", "a b", "", None]
