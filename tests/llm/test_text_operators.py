@@ -112,6 +112,17 @@ def test_pii_with_adjacent_letters(text, kind):
     assert pii.disguised(f"call {text}, ok", []) == [(kind, 5, 5 + len(text))]
 
 
+@pytest.mark.parametrize("address", ["jane at firm dot ca", "jane at firm dot co dot au", "jane dot doe at mail dot firm dot xyz", "jane @ example.com", "jane@ mail.example.co.uk", "jane.doe @example.pl", "jane @ example dot co.uk"])
+def test_pii_bare_addresses_of_all_endings(address):
+    text = f"write to: {address}, or call"
+    assert ("email", 10, 10 + len(address)) in pii.disguised(text, pii.detect(text))
+
+
+@pytest.mark.parametrize("text", ["look at example.com first", "two @ 3.50 each", "see you @ noon. come", "stare at the dot in it", "@ home.we left"])
+def test_pii_leaves_other_signs_alone(text):
+    assert pii.disguised(text, pii.detect(text)) == []
+
+
 def test_pii_hints_cover_all_disguises():
     random.seed(2)
     parts = ["dot", " dot ", "at", " at ", "@", "[", "]", "(", ")", ".", " ", "  ", "-", "+", ",", "one", "two ", "oh-", "double ", "plus ", "point ", "com", "jane", "\xad", "²", "é", "о"]
