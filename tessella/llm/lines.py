@@ -23,7 +23,7 @@ from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import common
@@ -33,6 +33,8 @@ EXAMPLES = 600
 """Labelled documents of each class that the field is fitted on."""
 FIT_LINES = 40
 """Lines of a fitted document: all of them, if there are more, in windows of this length."""
+WINDOWS = 8
+"""Windows of a fitted document that the field is fitted on; the curve is fitted on whole documents."""
 STEPS = 150
 
 #: Borders of each line statistic's bins.
@@ -145,13 +147,20 @@ class LineModel:
     offset: float
     base_rate: float
 
-    def raw(self, text: str | None) -> tuple[float, np.ndarray]:
-        """Length-weighted mean of the lines' log odds of being good, and the marginals."""
+    def share(self, text: str | None) -> tuple[float, float, np.ndarray]:
+        """Length of the good lines by their marginals, length of all lines, and the marginals."""
         own, sizes = line_features(text)
         if not len(own):
-            return 0.0, np.zeros(0)
+            return 0.0, 0.0, np.zeros(0)
         good, _ = forward_backward(scores_of(own, self.weights), self.stay)
-        share = float((good * sizes).sum() / sizes.sum())
+        return float((good * sizes).sum()), float(sizes.sum()), good
+
+    def raw(self, text: str | None) -> tuple[float, np.ndarray]:
+        """Log odds of the length-weighted share of good lines, and the marginals."""
+        part, total, good = self.share(text)
+        if not len(good):
+            return 0.0, good
+        share = part / total
         return float(np.log((share + 0.01) / (1 - share + 0.01))), good
 
     def score(self, text: str | None) -> tuple[float, np.ndarray]:
@@ -204,15 +213,16 @@ def fit_field(chains: list[np.ndarray], targets: list[np.ndarray], weights: list
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = EXAMPLES) -> LineModel:
-    """Learn from the labels of rows where ``learn`` holds; see EXAMPLES for the bound.
+    """Learn from the labels of rows where ``learn`` holds; see EXAMPLES and WINDOWS for the bounds.
 
-    Only binned line features of the sample reach the driver.
+    Only binned line features of the sample reach the driver, and a share for each of its documents.
     """
     common.ship(docs.sparkSession)
     sample, totals = common.labelled_sample(labels, "quality", learn, examples)
     base_rate = (totals[1] + 0.5) / (sum(totals) + 1)
     chosen = common.materialize(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    texts = common.materialize(texts)
 
     def run(batches):
         for batch in common.slices(batches):
@@ -227,8 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = EXAMP
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(lines, pa.binary()), pa.array(sizes, pa.list_(pa.float64()))], ["doc_id", "y", "lines", "sizes"])
 
     schema = "doc_id long, y int, lines binary, sizes array<double>"
-    # a document with very many lines takes part with windows drawn by a hash of their place
-    rows = texts.mapInArrow(run, schema).orderBy(F.xxhash64("doc_id", "lines"), "doc_id", "lines").limit(4 * examples).collect()
+    # a document with very many lines takes part with windows drawn by a hash of them
+    drawn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("doc_id", "lines"), "lines", "sizes"))
+    rows = texts.mapInArrow(run, schema).withColumn("drawn", drawn).where(f"drawn <= {WINDOWS}").drop("drawn").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["lines"])))
     if len({r["y"] for r in rows}) < 2:
         return LineModel(None, 0.0, 0.0, 0.0, base_rate)
@@ -249,14 +260,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, examples: int = EXAMP
                 targets[k] = np.where(good > 0.5, good, 0.0)
     weights, stay = fit_field(chains, targets, mass)
     model = LineModel(weights, stay, 1.0, 0.0, base_rate)
-    raw: dict[int, list[float]] = {}
-    for r, c, s in zip(rows, chains, sizes, strict=True):
-        good, _ = forward_backward(scores_of(c, weights), stay)
-        at = raw.setdefault(r["doc_id"], [0.0, 0.0, r["y"]])
-        at[0] += float((good * s).sum())
-        at[1] += float(s.sum())
-    share = np.array([a / b for a, b, _ in raw.values()])
-    label = np.array([v for _, _, v in raw.values()])
+
+    def shares(batches):
+        for batch in common.slices(batches):
+            found = [model.share(t)[:2] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in found], pa.float64()) for k in (0, 1))], ["doc_id", "y", "good", "size"])
+
+    whole = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text").mapInArrow(shares, "doc_id long, y int, good double, size double")
+    whole = whole.groupBy("doc_id", "y").agg(F.sum("good").alias("good"), F.sum("size").alias("size")).where("size > 0").collect()
+    whole.sort(key=lambda r: r["doc_id"])
+    share = np.array([r["good"] / r["size"] for r in whole])
+    label = np.array([r["y"] for r in whole], float)
     weight = np.where(label == 1, totals[1] / max((label == 1).sum(), 1), totals[0] / max((label == 0).sum(), 1))
     model.slope, model.offset = logistic(np.log((share + 0.01) / (1 - share + 0.01)), label, weight * len(label) / weight.sum())
     return model

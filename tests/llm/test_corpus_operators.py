@@ -299,3 +299,14 @@ def test_pipeline_stages_take_nothing(spark, small):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), small).count() == 0, name
     assert bpe.encode_documents(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_lines_long_documents_leave_room_for_short_ones(spark):
+    good = "The river runs past the old mill.\nWe walked home after supper.\nIt was a quiet evening."
+    bad = "\n".join(f"$$$ BUY {k} | NOW {k} !!! ###" for k in range(6000))
+    docs = spark.createDataFrame([(0, good), (1, good + "\nRain fell."), (2, bad), (3, bad[:40_000])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 2), 0) for k in range(4)], "doc_id long, quality int, toxic int")
+    model = lines.fit(docs, labels, F.lit(True), examples=2)
+    assert model.weights is not None
+    scores = {r["doc_id"]: r["score"] for r in lines.score_documents(docs, model).collect()}
+    assert min(scores[0], scores[1]) > 0.5 > max(scores[2], scores[3])
