@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessella.formula import quote_column, quote_text
 from tessella.functions.casts import cast_cell, text_of, trim
 from tessella.operators.base import step
-from tessella.relation import ORDER, Cell
+from tessella.relation import ORDER, Cell, nested
 from tessella.types import StepError, unique_name
 
 
@@ -137,7 +137,7 @@ def split_column(r, s, c):
     if mode == "rows":
         parts = F.posexplode_outer(F.split(text, re.escape(delimiter), -1)).alias("__at", "__part")
         df = r.df.select("*", parts)
-        order = F.concat(ORDER, F.array(F.coalesce("__at", F.lit(0)).cast("long")))
+        order = nested(F.col(ORDER), F.coalesce("__at", F.lit(0)))
         return r.build([(n, Cell(tidy(F.col("__part")), "text") if n == s["col"] else x) for n, x in r.cells()], df, order)
     if mode == "positions":
         places = sorted(int(m[0]) for p in str(s.get("positions", "")).split(",") if (m := re.match(r"\s*[-+]?\d+", p)))

@@ -106,7 +106,7 @@ def group_by(r, s, c):
         if made.err is not None:
             columns.append(made.err.alias(f"__b{k}"))
         out.append((name, Cell(F.col(f"__a{k}"), made.type, None if made.err is None else F.col(f"__b{k}"))))
-    columns.append(F.coalesce(F.min(ORDER), F.array(F.lit(0).cast("long"))).alias("__first"))
+    columns.append(F.min(ORDER).alias("__first"))
     df = (r.df.groupBy(*by) if by else r.df.groupBy()).agg(*columns)
     cells = [(n, Cell(F.col(f"__k{k}"), x.type, None if x.err is None else F.col(f"__e{k}"))) for k, (n, x) in enumerate(key_cells)]
     return r.build([*cells, *out], df, F.col("__first"))

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions.casts import cast_cell, text_of
 from tessella.operators.base import step
-from tessella.relation import ERROR, ORDER, Cell, Relation, ref
+from tessella.relation import ERROR, ORDER, Cell, Relation, nested, ref
 from tessella.types import StepError, unique_name
 
-CROSS_ROWS = 5_000_000
+#: Rows that a cross join may make, and another join where ``limitRows`` asks for a limit.
+CROSS_ROWS, MERGE_ROWS = 5_000_000, 20_000_000
 KINDS = {"left": "left", "inner": "inner", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
 
 
 def _prefixed(r: Relation, side: str) -> Relation:
     """The same relation with hidden columns that don't clash with the other side's."""
-    columns = [ref(n).alias(f"__{side}_{n}") for n in r.names] + [ref(ERROR + n).alias(f"__{side}e_{n}") for n in r.errors] + [F.col(ORDER).alias(f"__{side}ord")]
+    columns = [F.lit(True).alias(f"__{side}_here")] if side == "l" else []
+    columns += [ref(n).alias(f"__{side}_{n}") for n in r.names] + [ref(ERROR + n).alias(f"__{side}e_{n}") for n in r.errors] + [F.col(ORDER).alias(f"__{side}ord")]
     return Relation(r.df.select(*columns), r.types, r.errors)
 
 
@@ -50,9 +53,8 @@ def _condition(left, right, s):
 
 def _order(how):
     """Left rows in their order, each with its matches in right order; then right rows without a left one."""
-    late = F.array(F.lit(1 << 62), F.lit(0).cast("long"))
-    left, right = F.col("__lord"), F.coalesce(F.col("__rord"), F.array().cast("array<long>"))
-    return F.concat(F.coalesce(left, late) if how in ("right", "full") else left, right)
+    left, right = F.col("__lord"), F.col("__rord")
+    return nested(F.col("__l_here").isNull(), left, right) if how in ("right", "full") else nested(left, right)
 
 
 @step("Merge")
@@ -75,6 +77,8 @@ def merge(r, s, c):
                 raise StepError(f"Cross join would produce {rows:,} rows")
         df = left.df.crossJoin(right.df)
     else:
+        if s.get("limitRows") and (rows := merge_stats(r, other, s)["outputRows"]) > MERGE_ROWS:
+            raise StepError(f"Merge would produce {rows:,} rows — the right-hand keys are probably not unique")
         df = left.df.join(right.df, _condition(lc, rc, s), KINDS[how])
     if how in ("semi", "anti"):
         return r.build(list(lc.items()), df, F.col("__lord"))
@@ -119,13 +123,11 @@ def merge_stats(r: Relation, other: Relation, s) -> dict:
     return out
 
 
-def _shifted(table: int):
-    above = table << 56
-    return F.transform(ORDER, lambda x, i: F.when(i == 0, x + F.lit(above)).otherwise(x))
+def append_relations(parts: list[Relation], given: list[Column] | None = None) -> Relation:
+    """Rows of all tables one after another, columns by name in first-seen order.
 
-
-def append_relations(parts: list[Relation]) -> Relation:
-    """Rows of all tables one after another, columns by name in first-seen order."""
+    ``given`` are the parts' orders where these, all of one type, already say how rows
+    of different parts are ordered."""
     kinds: dict[str, set[str]] = {}
     for p in parts:
         for n, t in p.types.items():
@@ -133,6 +135,9 @@ def append_relations(parts: list[Relation]) -> Relation:
     types = {n: next(iter(k)) if len(k) == 1 else "number" if k <= {"int", "number"} else "any" for n, k in kinds.items()}
     errors = frozenset(n for p in parts for n in p.errors)
     out = None
+    orders = [p.df.schema[ORDER].dataType for p in parts]
+    kinds_of_order = list(dict.fromkeys(x.simpleString() for x in orders))
+    ddl = {x.simpleString(): x for x in orders}
     for k, p in enumerate(parts):
         cells = []
         for n, t in types.items():
@@ -141,8 +146,13 @@ def append_relations(parts: list[Relation]) -> Relation:
                 x = Cell(x.value.cast("double") if t == "number" else text_of(x), t, x.err)
             none = F.lit(None).cast("string")
             cells.append((n, Cell(x.value, t, (x.err if x.err is not None else none) if n in errors else None)))
-        # the table's number goes above the ids of its rows
-        part = p.build(cells, order=_shifted(k))
+        # the table's number comes first, then its rows' order in the slot for orders of that kind
+        if given:
+            part = p.build(cells, order=given[k])
+            out = part if out is None else Relation(out.df.unionByName(part.df), types, errors)
+            continue
+        slots = [F.col(ORDER) if orders[k].simpleString() == x else F.lit(None).cast(ddl[x]) for x in kinds_of_order]
+        part = p.build(cells, order=nested(F.lit(k), *slots))
         out = part if out is None else Relation(out.df.unionByName(part.df), types, errors)
     return out
 

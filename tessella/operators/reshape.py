@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions.casts import text_of
 from tessella.operators.base import step
 from tessella.operators.grouping import aggregate
-from tessella.relation import ORDER, Cell
+from tessella.relation import ORDER, Cell, nested
 from tessella.types import SPARK_TYPES, StepError, unique_name, unique_names
 
 PIVOT_COLUMNS, TRANSPOSE_ROWS = 500, 5_000
@@ -35,7 +35,7 @@ def unpivot(r, s, c):
     if s.get("dropNulls", True) is not False:
         df = df.where(value.isNotNull() if err is None else value.isNotNull() | err.isNotNull())
     cells = [*r.cells(ids), (s.get("var") or "Attribute", Cell(F.col("__cell.n"), "text")), (s.get("val") or "Value", Cell(value, kind, err))]
-    return r.build(cells, df, F.concat(ORDER, F.array(F.col("__at").cast("long"))))
+    return r.build(cells, df, nested(F.col(ORDER), F.col("__at")))
 
 
 @step("Pivot")
@@ -82,14 +82,14 @@ def pivot(r, s, c):
         new = unique_name(x, taken)
         taken.append(new)
         cells.append((new, Cell(F.col(f"__p{k}_v"), "number" if kind == "any" else kind)))
-    return r.build(cells, wide, F.coalesce(F.col("__first"), F.array(F.lit(0).cast("long"))))
+    return r.build(cells, wide, F.col("__first"))
 
 
 @step("Transpose")
 def transpose(r, s, c):
     """Of small tables only. The first output column has the names; values are text."""
     header = s.get("headerCol")
-    rows = r.df.orderBy(ORDER).limit(TRANSPOSE_ROWS + 1).select(*(text_of(x, export=True).alias(n) for n, x in r.cells())).collect()
+    rows = r.df.orderBy(*r.by_order()).limit(TRANSPOSE_ROWS + 1).select(*(text_of(x, export=True).alias(n) for n, x in r.cells())).collect()
     if len(rows) > TRANSPOSE_ROWS:
         raise StepError(f"Transpose is limited to {TRANSPOSE_ROWS} rows")
     names = [n for n in r.names if n != header]
@@ -97,4 +97,4 @@ def transpose(r, s, c):
     data = [(k, n, *(x[n] for x in rows)) for k, n in enumerate(names)]
     schema = ", ".join(["__at long", *(f"__c{k} string" for k in range(len(heads)))])
     df = r.df.sparkSession.createDataFrame(data, schema)
-    return r.build([(h, Cell(F.col(f"__c{k}"), "text" if k == 0 else "any")) for k, h in enumerate(heads)], df, F.array("__at"))
+    return r.build([(h, Cell(F.col(f"__c{k}"), "text" if k == 0 else "any")) for k, h in enumerate(heads)], df, F.col("__at"))

@@ -11,7 +11,7 @@ from tessella.formula.compile import Compiler, literal
 from tessella.functions.casts import cast_cell, half_up, text_of, trim
 from tessella.functions.scalar import clean, fingerprint, ngram_fingerprint, proper, strip_marks
 from tessella.operators.base import step
-from tessella.relation import BLOCK_BITS, ORDER, Cell
+from tessella.relation import ORDER, Cell, block_of, nested
 from tessella.types import StepError
 
 
@@ -19,7 +19,8 @@ def _fill(r, cols, down: bool):
     """The nearest value before (or after) in row order. Rows are dealt with in blocks of the
     scan's ids: a block gets the last value of all earlier blocks, so no task sees all rows."""
     r.need(cols)
-    df = r.df.withColumn("__block", F.shiftright(F.element_at(ORDER, 1), BLOCK_BITS))
+    r = r.settled()
+    df = r.df.withColumn("__block", block_of(F.col(ORDER)))
     cells = dict(r.cells(cols))
     pair = {n: F.when(x.value.isNotNull() | x.failed, F.struct(x.value.alias("v"), (F.lit(None).cast("string") if x.err is None else x.err).alias("e"))) for n, x in cells.items()}
     pick = F.max_by if down else F.min_by
@@ -168,7 +169,7 @@ def expand_json(r, s, c):
         items = F.when(F.startswith(trimmed, F.lit("[")), F.from_json(text, "array<string>")).otherwise(F.array(text))
         items = F.when(F.size(items) > 0, items)
         df = r.df.select("*", F.posexplode_outer(items).alias("__at", "__item"))
-        order = F.concat(ORDER, F.array(F.coalesce("__at", F.lit(0)).cast("long")))
+        order = nested(F.col(ORDER), F.coalesce("__at", F.lit(0)))
         return r.build([(n, Cell(F.col("__item"), "text", x.err) if n == name else x) for n, x in r.cells()], df, order)
     parsed = F.try_parse_json(text)
     bad = F.when(text.isNotNull() & parsed.isNull(), F.lit("Not valid JSON"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.functions.casts import natural_key, sort_key
 from tessella.operators.base import step
 from tessella.operators.rows import key_columns, sort
-from tessella.relation import ORDER, Cell
+from tessella.relation import ORDER, Cell, running_total
 from tessella.types import StepError, unique_name
 
 LABELS = {"cumsum": "Running total", "row_number": "Row number", "rank": "Rank", "dense_rank": "Dense rank", "diff": "Difference", "cummax": "Running max", "cummin": "Running min", "pct_change": "Percent change", "rolling_sum": "Rolling sum", "rolling_min": "Rolling min", "rolling_max": "Rolling max", "rolling_std": "Rolling std", "moving_avg": "Moving average", "lag": "Previous", "lead": "Next", "pct_of_total": "Percent of total"}
@@ -116,11 +116,9 @@ def _unpartitioned(r, s, c, op, name, x, kind, n):
 def _global_rank(r, op, name, key):
     """Ranks over all rows: values are counted first, and only distinct values are ordered."""
     df = r.df.withColumn("__key", key)
-    counts = df.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
-    last = counts.select("__key", "__n", F.col("__key").isNull().alias("__none"))
-    w = Window.orderBy(F.col("__key").desc_nulls_last())
-    value = F.row_number().over(w) if op == "dense_rank" else F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
-    ranks = last.select(F.col("__key").alias("__rk"), value.alias("__rank"))
+    counts = df.groupBy("__key").agg((F.lit(1) if op == "dense_rank" else F.count(F.lit(1))).cast("long").alias("__n"))
+    before = running_total(counts, "__n", [F.col("__key").desc_nulls_last()], "__before")
+    ranks = before.select(F.col("__key").alias("__rk"), (F.col("__before") + 1).alias("__rank"))
     joined = df.join(ranks, df["__key"].eqNullSafe(ranks["__rk"]))
     return r.build([*r.cells(), (name, Cell(F.col("__rank"), "int"))], joined)
 

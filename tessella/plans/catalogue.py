@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella import scratch
 from tessella.operators import quality as views
 from tessella.operators.joining import merge_stats
 from tessella.operators.values import clusters
 from tessella.plans.project import Engine, Project, Query
 from tessella.relation import Relation, ref
+from tessella.sources.sinks import write
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -129,7 +131,7 @@ def _entries() -> dict[str, Entry]:
     q["range_rows"] = Entry("events", [by_id, step("KeepRows", mode="range", offset=100, n=50), select("event_id")], "SELECT event_id FROM events ORDER BY event_id LIMIT 50 OFFSET 100")
     q["remove_top_bottom"] = Entry("events", [by_id, step("KeepRows", mode="remove_top", n=10), step("KeepRows", mode="remove_bottom", n=20), select("event_id")], "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS n FROM events) WHERE k > 10 AND k <= n - 20")
     q["alternate_rows"] = Entry("events", [by_id, step("KeepRows", mode="alternate", keep=2, skip=3, offset=4), select("event_id")], "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events) WHERE k >= 4 AND (k - 4) % 5 < 2")
-    q["remove_blank"] = Entry("events", [HOLES, add("t", 'if [v] = null then "" else [event_type]'), select("v", "t"), step("KeepRows", mode="remove_blank"), group([], agg("count_rows", name="n"))], f"SELECT count(*) AS n FROM {HOLES_SQL} WHERE v IS NOT NULL")
+    q["remove_blank"] = Entry("events", [HOLES, add("t", 'if [v] = null then "" else [event_type]'), select("v", "t"), step("KeepRows", mode="remove_blank")], f"SELECT v, CASE WHEN v IS NULL THEN '' ELSE event_type END AS t FROM {HOLES_SQL} WHERE v IS NOT NULL")
     q["sample_exact"] = Entry("events", [by_id, step("Sample", mode="n", n=100, seed=7), select("event_id")])
     q["promote_headers"] = Entry("region", [select("r_name"), step("DemoteHeaders"), step("PromoteHeaders", row=0)], "SELECT r_name FROM region")
     # ---- values
@@ -177,7 +179,6 @@ def _entries() -> dict[str, Entry]:
     q["group_min_max_text"] = Entry("customer", [group(["c_mktsegment"], agg("min", "c_name", "a"), agg("max", "c_name", "z"), agg("max", "c_acctbal", "bal"))], "SELECT c_mktsegment, min(c_name) AS a, max(c_name) AS z, max(c_acctbal) AS bal FROM customer GROUP BY 1")
     q["group_first_last"] = Entry("events", [HOLES, by_id, group(["user_id"], agg("first", "v", "f"), agg("last", "event_type", "l"))], f"SELECT user_id, arg_min_null(v, event_id) AS f, arg_max(event_type, event_id) AS l FROM {HOLES_SQL} GROUP BY 1")
     q["group_concat"] = Entry("nation", [step("Sort", by=[{"col": "n_nationkey"}]), group(["n_regionkey"], agg("concat", "n_name", "names", sep="; "))], "SELECT n_regionkey::BIGINT n_regionkey, string_agg(n_name, '; ' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
-    q["group_global"] = Entry("orders", [where("[o_orderkey] < 0"), group([], agg("count_rows", name="n"), agg("sum", "o_totalprice", "s"))], "SELECT count(*) AS n, sum(o_totalprice) AS s FROM orders WHERE o_orderkey < 0")
     q["group_global_all"] = Entry("orders", [group([], agg("count_rows", name="n"), agg("sum", "o_totalprice", "s"))], "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders", digits=2)
     # ---- windows
     over = "PARTITION BY user_id ORDER BY event_id"
@@ -205,10 +206,27 @@ def _entries() -> dict[str, Entry]:
         for op, (sql, more) in sqls.items():
             q[f"window_{op}{suffix}"] = Entry("events", [HOLES, by_id, step("Window", op=op, col="v", name="w", **base, **more), select("event_id", "w")], f"SELECT event_id, {sql if op in ('row_number', 'rank', 'dense_rank') else f'round({sql}, 6) + 0.0'} AS w FROM {HOLES_SQL}", digits=6)
     q["window_order_desc_nulls"] = Entry("events", [HOLES, by_id, step("Window", op="row_number", partition=["user_id"], orderBy="v", desc=True, name="w"), select("event_id", "w")], f"SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY v DESC NULLS LAST, event_id) AS w FROM {HOLES_SQL}")
+    # ---- whole rows after a sort, and after several appends
+    wide, keys = "* REPLACE (l_linenumber::BIGINT AS l_linenumber, l_shipdate::TIMESTAMP AS l_shipdate)", ("l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_discount")
+    sort_lines, lines = step("Sort", by=[{"col": "l_extendedprice", "desc": True}, *({"col": k} for k in keys[1:])]), "OVER (ORDER BY l_extendedprice DESC, " + ", ".join(keys[1:])
+    sort_orders, orders = step("Sort", by=[{"col": "o_totalprice"}, {"col": "o_orderkey", "desc": True}]), "OVER (ORDER BY o_totalprice, o_orderkey DESC"
+    gaps = step("ReplaceValues", cols=["o_orderstatus"], find="F", replace="")
+    gone = "CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END"
+    q["sorted_index_orders"] = Entry("orders", [sort_orders, step("IndexColumn", name="ix")], f"SELECT *, row_number() {orders}) - 1 AS ix FROM orders")
+    q["sorted_index_lineitem"] = Entry("lineitem", [sort_lines, step("IndexColumn", name="ix", start=1)], f"SELECT {wide}, row_number() {lines}) AS ix FROM lineitem")
+    q["sorted_fill_orders"] = Entry("orders", [gaps, sort_orders, step("FillDown", cols=["o_orderstatus"])], f"SELECT * REPLACE (last_value({gone} IGNORE NULLS) {orders} ROWS UNBOUNDED PRECEDING) AS o_orderstatus) FROM orders")
+    q["sorted_cumsum_lineitem"] = Entry("lineitem", [sort_lines, step("Window", op="cumsum", col="l_quantity", name="w")], f"SELECT {wide}, sum(l_quantity) {lines} ROWS UNBOUNDED PRECEDING) AS w FROM lineitem", digits=4)
+    q["sorted_lag_orders"] = Entry("orders", [sort_orders, step("Window", op="lag", col="o_custkey", n=3, name="w")], f"SELECT *, lag(o_custkey, 3) {orders}) AS w FROM orders")
+    q["sorted_alternate_lineitem"] = Entry("lineitem", [sort_lines, step("KeepRows", mode="alternate", keep=2, skip=1)], f"SELECT {wide} FROM lineitem QUALIFY (row_number() {lines}) - 1) % 3 < 2")
+    q["sorted_by_text_orders"] = Entry("orders", [step("Sort", by=[{"col": "o_orderpriority", "desc": True}, {"col": "o_orderdate", "desc": True}, {"col": "o_orderkey"}]), step("IndexColumn", name="ix")], "SELECT *, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderdate DESC, o_orderkey) - 1 AS ix FROM orders")
+    q["sorted_range_orders"] = Entry("orders", [sort_orders, step("KeepRows", mode="range", offset=50, n=200)], "SELECT * FROM orders ORDER BY o_totalprice, o_orderkey DESC LIMIT 200 OFFSET 50")
+    three = {"nation": [source("nation"), select("n_name")], "region": [source("region"), select("r_name"), step("Rename", map=[["r_name", "n_name"]]), step("Sort", by=[{"col": "n_name", "desc": True}])]}
+    q["append_twice_in_order"] = Entry("supplier", [select("s_name"), step("Sort", by=[{"col": "s_name"}]), step("Rename", map=[["s_name", "n_name"]]), step("Append", others=["nation"]), step("Append", others=["region"]), step("IndexColumn", name="ix")], "SELECT n_name, row_number() OVER (ORDER BY t, k, n_name) - 1 AS ix FROM (SELECT s_name AS n_name, 0 AS t, 0 AS k FROM supplier UNION ALL SELECT n_name, 1, n_nationkey FROM nation UNION ALL SELECT r_name, 2, -rank() OVER (ORDER BY r_name) FROM region)", others=three)
     # ---- reshaping
     q["unpivot"] = Entry("part", [select("p_partkey", "p_size", "p_retailprice"), step("Unpivot", ids=["p_partkey"], var="attr", val="x")], "SELECT p_partkey, 'p_size' AS attr, p_size::DOUBLE AS x FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
-    q["pivot_sum"] = Entry("events", [step("Pivot", on="event_type", values="value", agg="sum", index=["user_id"], keys=["click", "view", "purchase"])], "SELECT user_id, round(sum(value) FILTER (event_type = 'click'), 4) AS click, round(sum(value) FILTER (event_type = 'view'), 4) AS view, round(sum(value) FILTER (event_type = 'purchase'), 4) AS purchase FROM events GROUP BY 1", digits=4)
-    q["pivot_count_null"] = Entry("orders", [where("[o_custkey] <= 40"), step("Pivot", on="o_orderstatus", agg="count_rows", index=["o_custkey"]), select("o_custkey", "F", "O", "P")], "SELECT o_custkey, nullif(count_if(o_orderstatus = 'F'), 0) AS \"F\", nullif(count_if(o_orderstatus = 'O'), 0) AS \"O\", nullif(count_if(o_orderstatus = 'P'), 0) AS \"P\" FROM orders WHERE o_custkey <= 40 GROUP BY 1")
+    kinds = ("click", "error", "purchase", "signup", "view")
+    sums = ", ".join(f"round(sum(value) FILTER (event_type = '{k}'), 4) AS {k}" for k in kinds)
+    q["pivot_sum"] = Entry("events", [step("Pivot", on="event_type", values="value", agg="sum", index=["user_id"], keys=list(kinds))], f"SELECT user_id, {sums} FROM events GROUP BY 1", digits=4)
     q["pivot_count_all"] = Entry("orders", [step("Pivot", on="o_orderstatus", agg="count_rows", index=["o_custkey"]), select("o_custkey", "F", "O", "P")], "SELECT o_custkey, nullif(count_if(o_orderstatus = 'F'), 0) AS \"F\", nullif(count_if(o_orderstatus = 'O'), 0) AS \"O\", nullif(count_if(o_orderstatus = 'P'), 0) AS \"P\" FROM orders GROUP BY 1")
     q["pivot_text_first"] = Entry("nation", [step("Sort", by=[{"col": "n_nationkey"}]), add("side", 'if [n_nationkey] < 12 then "low" else "high"'), step("Pivot", on="side", values="n_name", agg="first", index=["n_regionkey"])], "SELECT n_regionkey::BIGINT n_regionkey, arg_min(n_name, n_nationkey) FILTER (n_nationkey < 12) AS low, arg_min(n_name, n_nationkey) FILTER (n_nationkey >= 12) AS high FROM nation GROUP BY 1")
     q["transpose_small"] = Entry("region", [step("Sort", by=[{"col": "r_regionkey"}]), step("Transpose", headerCol="r_name")], "SELECT 'r_regionkey' AS \"Name\", '0' AS \"AFRICA\", '1' AS \"AMERICA\", '2' AS \"ASIA\", '3' AS \"EUROPE\", '4' AS \"MIDDLE EAST\"")
@@ -216,7 +234,6 @@ def _entries() -> dict[str, Entry]:
     q["fn_text_1"] = Entry("part", [add("a", "Text.Upper([p_name])"), add("b", "Text.Lower([p_brand])"), add("c", "Text.Length([p_name])"), add("d", "Text.Start([p_name], 4) & Text.End([p_name], 3) & Text.Middle([p_name], 2, 3)"), add("e", 'Text.Replace([p_type], " ", "_")'), add("f", 'Text.PadStart(Text.From([p_size]), 5, "0") & Text.PadEnd(Text.From([p_size]), 4, "*")'), select("p_partkey", "a", "b", "c", "d", "e", "f")], "SELECT p_partkey, upper(p_name) a, lower(p_brand) b, length(p_name) c, left(p_name, 4) || right(p_name, 3) || substr(p_name, 3, 3) d, replace(p_type, ' ', '_') e, lpad(p_size::VARCHAR, 5, '0') || rpad(p_size::VARCHAR, 4, '*') f FROM part")
     q["fn_text_2"] = Entry("pages", [add("a", 'Text.BeforeDelimiter([url], "/")'), add("b", 'Text.AfterDelimiter([url], "//")'), add("c", 'Text.RegexExtract([url], "^(\\w+)://([^/]+)", 2)'), add("d", 'Text.RegexReplace([url], "[0-9]+", "#")'), add("e", 'Text.RegexMatch([url], "[0-9]$")'), add("f", 'Text.Contains([html], "<p") and Text.StartsWith([url], "http")'), select("page_id", "a", "b", "c", "d", "e", "f")], r"SELECT page_id, split_part(url, '/', 1) a, CASE WHEN contains(url, '//') THEN substr(url, instr(url, '//') + 2) ELSE '' END b, nullif(regexp_extract(url, '^(\w+)://([^/]+)', 2), '') c, regexp_replace(url, '[0-9]+', '#', 'g') d, regexp_matches(url, '[0-9]$') e, contains(html, '<p') AND starts_with(url, 'http') f FROM pages")
     q["fn_text_3"] = Entry("nation", [add("a", "Text.Proper([n_name])"), add("b", 'Text.Repeat([n_name], 2)'), add("c", 'Text.Combine([n_name], null, "-", [n_regionkey])'), add("d", 'Text.Trim("  " & [n_name] & " ")'), add("e", 'Text.Similarity([n_name], "GERMANY")'), select("n_nationkey", "a", "b", "c", "d", "e")], "SELECT n_nationkey::BIGINT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') a, repeat(n_name, 2) b, n_name || '-' || n_regionkey c, n_name d, round(1 - levenshtein(lower(n_name), 'germany') / greatest(length(n_name), 7)::DOUBLE, 9) e FROM nation", digits=9)
-    q["fn_text_marks"] = Entry("documents", [add("a", "Text.RemoveDiacritics(Text.Start([text], 60))"), add("b", "Text.Fingerprint(Text.Start([source], 10))"), select("doc_id", "a", "b")], "SELECT doc_id, replace(strip_accents(left(text, 60)), '', '') a, lower(source) b FROM documents")
     q["fn_text_marks_whole"] = Entry("documents", [add("a", "Text.RemoveDiacritics([text])"), add("b", "Text.Fingerprint([source])"), select("doc_id", "a", "b")], "SELECT doc_id, strip_accents(text) a, lower(source) b FROM documents")
     q["fn_number"] = Entry("lineitem", [add("a", "Number.Round([l_extendedprice], 1)"), add("b", "Number.RoundUp([l_tax] * 100)"), add("c", "Number.Mod([l_quantity], 7)"), add("d", "Number.IntegerDivide([l_quantity], 4)"), add("e", "Number.Sign([l_quantity] - 25)"), add("f", "Number.Clamp([l_quantity], 10, 30)"), add("g", "Number.Sqrt([l_quantity]) + Number.Power([l_quantity], 2) + Number.Abs(0 - [l_quantity])"), add("h", "Number.Log([l_quantity])"), select("l_orderkey", "a", "b", "c", "d", "e", "f", "g", "h")], "SELECT l_orderkey, round_even(l_extendedprice * 10.0::DOUBLE, 0) / 10.0::DOUBLE a, ceil(l_tax * 100)::BIGINT b, l_quantity % 7 c, floor(l_quantity / 4)::BIGINT d, sign(l_quantity - 25)::BIGINT e, least(30.0::DOUBLE, greatest(10.0::DOUBLE, l_quantity)) f, round(sqrt(l_quantity) + l_quantity * l_quantity + l_quantity, 6) g, round(ln(l_quantity), 6) h FROM lineitem", digits=6)
     q["fn_number_from"] = Entry("orders", [*DIRTY, add("n", "try Number.From([raw]) otherwise -1"), add("e", "Value.IsError(Number.From([raw]))"), select("o_orderkey", "n", "e")], f"SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN -1::DOUBLE ELSE {NUM} END n, o_orderkey % 5 = 0 AS e FROM {DIRTY_SQL}")
@@ -239,10 +256,10 @@ def _entries() -> dict[str, Entry]:
 
     def profile(r, e):
         p = views.profile(r, "v")
-        names = ("rows", "errors", "empty", "distinct", "unique", "min", "max")
-        return r.df.sparkSession.createDataFrame([tuple(p[n] for n in names)], "rows long, errors long, empty long, distinct long, unique long, min double, max double")
+        names = ("rows", "errors", "empty", "distinct", "unique", "min", "max", "mean", "stdev")
+        return r.df.sparkSession.createDataFrame([tuple(p[n] for n in names)], "rows long, errors long, empty long, distinct long, unique long, min double, max double, mean double, stdev double")
 
-    q["profile_column"] = Entry("events", [HOLES], f"SELECT count(*) AS rows, 0::BIGINT AS errors, count(*) - count(v) AS empty, count(DISTINCT v) AS distinct, (SELECT count(*) FROM (SELECT v FROM {HOLES_SQL} WHERE v IS NOT NULL GROUP BY v HAVING count(*) = 1)) AS \"unique\", min(v) AS min, max(v) AS max FROM {HOLES_SQL}", last=profile)
+    q["profile_column"] = Entry("events", [HOLES], f"SELECT count(*) AS rows, 0::BIGINT AS errors, count(*) - count(v) AS empty, count(DISTINCT v) AS distinct, (SELECT count(*) FROM (SELECT v FROM {HOLES_SQL} WHERE v IS NOT NULL GROUP BY v HAVING count(*) = 1)) AS \"unique\", min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS stdev FROM {HOLES_SQL}", last=profile, digits=6)
     q["distinct_values"] = Entry("orders", [], "SELECT o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 1", last=lambda r, e: views.distinct_values(r, "o_orderpriority"))
 
     def overview(r, e):
@@ -255,7 +272,6 @@ def _entries() -> dict[str, Entry]:
     messy_sql = "CASE WHEN o_orderkey % 4 = 0 THEN 'New York' WHEN o_orderkey % 4 = 1 THEN 'new  york.' WHEN o_orderkey % 7 = 2 THEN 'YORK, new' ELSE 'Boston' END"
     q["cluster_fingerprint"] = Entry("orders", [messy, step("ClusterValues", col="c", auto=True), group(["c"], agg("count_rows", name="n"))], f"SELECT CASE WHEN c = 'Boston' THEN c ELSE (SELECT c FROM (SELECT {messy_sql} AS c, count(*) AS k FROM orders GROUP BY 1) WHERE c <> 'Boston' ORDER BY k DESC, c LIMIT 1) END AS c, count(*) AS n FROM (SELECT {messy_sql} AS c FROM orders) GROUP BY 1")
     q["cluster_ngram"] = Entry("orders", [messy], None, last=lambda r, e: clusters(r, "c", "ngram").select("key", "canonical", "rows", F.size("variants").alias("n")))
-    q["similarity"] = Entry("benchmark", [add("t", 'Text.Start(Text.RegexReplace([text], "[^ -~]", ""), 30)'), add("s", 'Text.Similarity([t], "the quick brown fox jumps over")'), select("item_id", "s")], "SELECT item_id, round(1 - levenshtein(lower(t), 'the quick brown fox jumps over') / greatest(length(t), 30)::DOUBLE, 9) AS s FROM (SELECT item_id, left(regexp_replace(text, '[^ -~]', '', 'g'), 30) AS t FROM benchmark)", digits=9)
     # DuckDB's levenshtein counts bytes: whole texts are compared by brute force in the tests
     q["similarity_whole"] = Entry("benchmark", [add("s", 'Text.Similarity([text], "the quick brown fox jumps over")'), select("item_id", "s")], digits=9)
     # ---- order
@@ -283,10 +299,41 @@ def _tpch_like() -> dict[str, Entry]:
 BENCH = _tpch_like()
 ENTRIES = _entries()
 
+CUSTOMER_TYPES = step("ChangeType", onError="fail", changes=[{"col": "c_custkey", "type": "int"}, {"col": "c_nationkey", "type": "int"}, {"col": "c_acctbal", "type": "number"}])
+CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
+
+
+def round_trip(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of customers written by a sink and read again by the source of that kind."""
+    table = engine(spark, sf_dir, {"q": [source("customer")]}).relation("q")
+    path = scratch.new_path(spark, f".{kind}")
+    if kind == "json":
+        table.output().write.json(path)
+    else:
+        write(table, path.removeprefix("file://") if kind in ("arrow", "xlsx") else path, kind)
+    heads = [step("PromoteHeaders")] if kind == "xlsx" else []
+    back = Project({"q": Query("q", [{"type": "Source", "source": {"kind": "file", "file": path, "csv": {"header": True}}}, *heads, CUSTOMER_TYPES])})
+    return Engine(spark, back).relation("q").output()
+
+
+def folder_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written to a folder of 130 files by ranges of the key, and read in the order of the files' names."""
+    path = scratch.new_path(spark, "")
+    for name, kind in (("customer", "csv"),):
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn("part", F.format_string("%03d", F.ntile(130).over(Window.orderBy("c_custkey"))))
+        rows.repartition("part").sortWithinPartitions("part", "c_custkey").write.partitionBy("part").option("header", True).format(kind).save(path)
+    back = Project({"q": Query("q", [{"type": "Source", "source": {"kind": "folder", "folder": path, "format": "csv", "pattern": "part=*", "csv": {"header": True}, "fileColumn": None}}, CUSTOMER_TYPES, step("IndexColumn", name="ix")])})
+    return Engine(spark, back).relation("q").output()
+
+
+#: Queries that need a sink first; the SQL is over the table that was written.
+TRIPS = {f"round_trip_{k}": (lambda spark, sf_dir, k=k: round_trip(k, spark, sf_dir)) for k in ("csv", "tsv", "json", "parquet", "arrow", "xlsx")} | {"folder_in_order": folder_in_order}
+TRIPS_SQL = {f"round_trip_{k}": CUSTOMER_SQL for k in ("csv", "tsv", "json", "parquet", "arrow", "xlsx")} | {"folder_in_order": f"SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS ix FROM ({CUSTOMER_SQL})"}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: (lambda spark, sf_dir, e=e: run(e, spark, sf_dir)) for n, e in ENTRIES.items()}
+    return {n: (lambda spark, sf_dir, e=e: run(e, spark, sf_dir)) for n, e in ENTRIES.items()} | TRIPS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: e.sql for n, e in ENTRIES.items() if e.sql}
+    return {n: e.sql for n, e in ENTRIES.items() if e.sql} | TRIPS_SQL

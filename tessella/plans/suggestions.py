@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tessella.relation import ORDER, Relation, ref
+from tessella.relation import Relation, ref
 from tessella.sources.files import detect_header, infer_type
 
 SAMPLE_ROWS = 20_000
@@ -12,7 +12,7 @@ SAMPLE_ROWS = 20_000
 
 def suggestions(r: Relation, rows: int = SAMPLE_ROWS) -> list[dict]:
     """Each has ``reason`` and ``step``."""
-    sample = r.df.orderBy(ORDER).limit(rows).select(*map(ref, r.names)).toPandas()
+    sample = r.df.orderBy(*r.by_order()).limit(rows).select(*map(ref, r.names)).toPandas()
     out: list[dict] = []
 
     def add(reason, **step):

@@ -1,9 +1,13 @@
 """An ordered table: a DataFrame with named, typed columns, error columns and a row order.
 
 A column that may hold cell errors has a hidden partner with the error's message
-(null: no error; the value is then null). Row order is one hidden array column of
-longs, compared from left to right. Nothing is sorted until a step needs positions,
-and hidden columns that no step uses are pruned by Catalyst.
+(null: no error; the value is then null). Row order is one hidden column: a long, or a
+struct that is compared from left to right (sort keys, a row's place within its
+parent, a table's number). Nothing is sorted until a step needs positions, and hidden
+columns that no step uses are pruned by Catalyst.
+
+Steps that read the rows twice (positions, fills, running values) need an order that
+every evaluation repeats; :meth:`Relation.settled` gives one.
 """
 
 from __future__ import annotations
@@ -13,13 +17,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessella import scratch
 from tessella.types import SPARK_TYPES, StepError, closest, logical_type
 
 ORDER = "__ord"
 ERROR = "__err_"
 BLOCK_BITS = 16
 """Rows whose order ids agree above these bits are numbered together."""
+_ROW_BITS = 33
+"""Bits of a row's number within its partition, in ids that Spark deals out."""
+_DEALING = ("Join", "Aggregate", "Sort", "Repartition", "Rebalance", "Window", "Limit", "Distinct", "Union", "Offset", "Sample")
+"""Plan nodes below which rows may lie elsewhere when the plan runs again."""
 
 
 def ref(name: str) -> Column:
@@ -27,6 +37,57 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def block_of(order: Column) -> Column:
+    """The block of a settled id; rows without an order come first."""
+    return F.shiftright(F.coalesce(order, F.lit(0).cast("long")), BLOCK_BITS)
+
+
+def running_total(df: DataFrame, value: str, keys: list[Column], name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each one, in the order of ``keys``.
+
+    The rows are sorted by ranges and written with their ids once; ranges are summed
+    apart, so that no task sees all rows.
+    """
+    placed = scratch.materialize(df.orderBy(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__range", F.shiftright("__at", _ROW_BITS))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    starts = totals.select("__range", F.coalesce(F.sum("__sum").over(before(Window.orderBy("__range"))), F.lit(0)).alias("__start"))
+    own = F.coalesce(F.sum(value).over(before(Window.partitionBy("__range").orderBy("__at"))), F.lit(0))
+    return placed.join(starts, "__range").withColumn(name, F.col("__start") + own).drop("__range", "__start", "__at")
+
+
+def nested(*parts: Column) -> Column:
+    """An order of several parts, the first one first."""
+    return F.struct(*(p.alias(f"o{k}") for k, p in enumerate(parts)))
+
+
+def _leaves(kind: T.DataType, at: str) -> list[str]:
+    if isinstance(kind, T.StructType):
+        return [x for f in kind.fields for x in _leaves(f.dataType, f"{at}.{f.name}")]
+    return [at]
+
+
+def order_columns(df: DataFrame, desc: bool = False) -> list[Column]:
+    """What to sort by for the row order: a struct's parts one by one, which sorts faster than the struct."""
+    return [F.col(x).desc() if desc else F.col(x).asc() for x in _leaves(df.schema[ORDER].dataType, ORDER)]
+
+
+def _repeatable(df: DataFrame) -> bool:
+    """Whether ids that the plan deals out are the same whenever it runs: none, or right above a scan."""
+    root = df._jdf.queryExecution().optimizedPlan()
+    if root.deterministic():
+        return True
+    plans = [root]
+    while plans:
+        plan = plans.pop()
+        if any(x in plan.nodeName() for x in _DEALING):
+            return False
+        below = plan.children()
+        plans += [below.apply(k) for k in range(below.size())]
+    return True
+
+
 @dataclass(frozen=True)
 class Cell:
     """A value with its error message, as columns. ``err`` is None where no error can be."""
@@ -61,7 +122,7 @@ class Relation:
                 c = c.cast(SPARK_TYPES[kind])
             columns.append(c.alias(f.name))
         if order is None:
-            order = F.array(F.monotonically_increasing_id()) if ordered else F.array(F.lit(0).cast("long"))
+            order = F.monotonically_increasing_id() if ordered else F.lit(0).cast("long")
         return cls(df.select(*columns, order.alias(ORDER)), types)
 
     @property
@@ -115,13 +176,28 @@ class Relation:
         """The same columns over other rows of the same schema."""
         return Relation(df, self.types, self.errors)
 
+    def by_order(self, desc: bool = False) -> list[Column]:
+        return order_columns(self.df, desc)
+
+    def settled(self) -> Relation:
+        """The same rows, ordered by a long that every evaluation repeats.
+
+        Places in files are such an order already. Otherwise the rows are sorted by
+        ranges once and written with their ids, so that what is derived from the ids
+        later, in however many plans, is about the same rows.
+        """
+        if isinstance(self.df.schema[ORDER].dataType, T.LongType) and _repeatable(self.df):
+            return self
+        placed = self.df.orderBy(*self.by_order()).withColumn(ORDER, F.monotonically_increasing_id())
+        return self.over(scratch.materialize(placed))
+
     def position(self, name: str = "__pos") -> DataFrame:
         """The rows with their dense position from 0, without sorting all rows in one task.
 
-        Rows fall into the blocks of the ids that a scan deals out by partition; blocks
-        are counted, their counts are summed, and rows are numbered within their block.
+        Rows fall into blocks of their settled ids; blocks are counted, their counts
+        are summed, and rows are numbered within their block.
         """
-        df = self.df.withColumn("__block", F.shiftright(F.element_at(ORDER, 1), BLOCK_BITS))
+        df = self.settled().df.withColumn("__block", block_of(F.col(ORDER)))
         counts = df.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
         upto = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.select("__block", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__start"))
@@ -135,7 +211,7 @@ class Relation:
 
     def ordered(self) -> DataFrame:
         """The visible columns, sorted by row order."""
-        return self.df.orderBy(ORDER).select(*map(ref, self.names))
+        return self.df.orderBy(*self.by_order()).select(*map(ref, self.names))
 
     def with_errors(self) -> DataFrame:
         """The visible columns, and for columns with errors ``<name>__error``."""

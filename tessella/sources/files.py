@@ -5,18 +5,19 @@ from __future__ import annotations
 import csv
 import fnmatch
 import io
+import itertools
 import json
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.operators.joining import append_relations
-from tessella.relation import ORDER, Cell, Relation, ref
+from tessella.relation import ORDER, Cell, Relation, nested, ref
 from tessella.types import StepError, unique_names
 
 #: File kinds by extension.
@@ -96,9 +97,7 @@ def sniff_csv(data: bytes) -> dict[str, Any]:
     commas = sum(bool(re.fullmatch(r"-?[\d.]*\d,\d+", c)) for c in cells)
     points = sum(bool(re.fullmatch(r"-?[\d,]*\d\.\d+", c)) for c in cells)
     header, confidence = detect_header(grid)
-    widths = [len(x) for x in grid]
-    odd = bool(grid) and max(widths) > widths[0]
-    return {"delimiter": chosen, "locale": "de-DE" if chosen != "," and commas > points else "en-US", "header": header == 0 and confidence >= 0.5, "headerRow": header, "encoding": encoding, "ragged": odd, "junk": bool(re.search(r'"[^"\n]*"[^",;\t|\r\n]', text))}
+    return {"delimiter": chosen, "locale": "de-DE" if chosen != "," and commas > points else "en-US", "header": header == 0 and confidence >= 0.5, "headerRow": header, "encoding": encoding}
 
 
 def detect_header(grid: Sequence[Sequence[Any]]) -> tuple[int, float]:
@@ -117,21 +116,89 @@ def detect_header(grid: Sequence[Sequence[Any]]) -> tuple[int, float]:
     return at, round(best, 3)
 
 
+def csv_shapes(spark: SparkSession, paths: Sequence[str], delimiter: str, name: Column | None = None) -> dict[str, dict[str, Any]]:
+    """What all lines of each file are like, by one pass over all of them in parallel.
+
+    ``width``: the most cells of a line; ``spans``: a quoted cell may span lines, as
+    some line has an odd number of quotes; ``junk``: quotes stand where none belong.
+    """
+    lines = spark.read.text(list(paths)).select(F.col("value").alias("x"), (F.lit("") if name is None else name).alias("name"))
+    quotes = F.length("x") - F.length(F.replace("x", F.lit('"'), F.lit("")))
+    d = re.escape(delimiter)
+    # well-formed quoted cells go; a quote that stays is out of place
+    bare = F.when(quotes == 0, F.col("x")).otherwise(F.regexp_replace("x", rf'(?<=^|{d})"(?:[^"]|"")*"(?=$|{d})', ""))
+    cells = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    found = lines.groupBy("name").agg(F.max(cells).alias("width"), F.max(quotes % 2 == 1).alias("spans"), F.max(F.contains(bare, F.lit('"'))).alias("junk"))
+    return {x["name"]: x.asDict() for x in found.collect()}
+
+
+#: Encodings in which the bytes of delimiters and quotes stand for nothing else.
+PLAIN = ("UTF-8", "WINDOWS-1252", "ISO-8859-1", "US-ASCII")
+NO_LINES = {"width": 0, "spans": False, "junk": False}
+
+
+def _csv_layout(spark: SparkSession, path: str, options: Mapping[str, Any]) -> dict[str, Any]:
+    """How a file is to be read, by its options and its beginning; ``first`` are its header's cells."""
+    head = head_bytes(spark, path)
+    found = sniff_csv(head) if not {"delimiter", "encoding"} <= options.keys() else {}
+    delimiter, encoding = options.get("delimiter") or found["delimiter"], options.get("encoding") or found["encoding"]
+    header, skip = bool(options.get("header", True)), int(options.get("skipRows") or 0)
+    plain = encoding.upper().replace("_", "-") in PLAIN and len(delimiter) == 1 and not skip and not options.get("exact")
+    first = tuple(next(iter(_rows(head.decode(encoding, "replace").lstrip("\ufeff"), delimiter)), ())) if header else ()
+    return {"delimiter": delimiter, "encoding": encoding, "header": header, "skip": skip, "plain": plain, "first": first}
+
+
+def _read_csv_lines(spark: SparkSession, paths: Sequence[str], layout: Mapping[str, Any], width: int, name: Column | None = None) -> Relation:
+    """Files of one layout whose records are lines: one scan, split among tasks."""
+    first = layout["first"]
+    width = max(width, len(first), 1)
+    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(width)])
+    reader = spark.read.schema(schema).option("sep", layout["delimiter"]).option("quote", '"').option("escape", '"').option("encoding", layout["encoding"]).option("header", layout["header"]).option("enforceSchema", True)
+    cells = [F.when(ref(f"c{k}") != "", ref(f"c{k}")).alias(n) for k, n in enumerate(unique_names([*first, *[None] * (width - len(first))]))]
+    df = reader.csv(list(paths))
+    if name is None:
+        return Relation.of(df.select(*cells))
+    return Relation(df.select(*cells, nested(name, F.monotonically_increasing_id()).alias(ORDER)), dict.fromkeys(df.select(*cells).columns, "text"))
+
+
 def read_csv(spark: SparkSession, path: str, options: Mapping[str, Any] | None = None) -> Relation:
-    """All columns are text; '' is null. Ragged or oddly quoted files take a slower, exact parser."""
-    options = dict(options or {})
-    found = sniff_csv(head_bytes(spark, path)) if not {"delimiter", "header", "encoding"} <= options.keys() else {"ragged": False, "junk": False}
-    delimiter = options.get("delimiter") or found.get("delimiter", ",")
-    header = options.get("header", True if "header" not in options else options["header"])
-    encoding = options.get("encoding") or found.get("encoding", "UTF-8")
-    skip = int(options.get("skipRows") or 0)
-    if found["ragged"] or found["junk"] or skip or options.get("exact"):
-        return _read_csv_exact(spark, path, delimiter, header, encoding, skip)
-    reader = spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True).option("encoding", encoding).option("inferSchema", False).option("mode", "PERMISSIVE")
-    df = reader.option("header", False).csv(path) if not header else reader.option("header", True).csv(path)
-    names = unique_names([n if header else None for n in df.columns])
-    df = df.toDF(*names)
-    return Relation.of(df.select(*(F.when(ref(n) != "", ref(n)).alias(n) for n in names)))
+    """All columns are text; '' is null; cells beyond the header become ``Column<n>``.
+
+    The whole file decides how it is read. Where every line is a record, the reader
+    splits the file among tasks; where a quoted cell may span lines, or quotes are out
+    of place, an exact parser takes each file in one task.
+    """
+    layout = _csv_layout(spark, path, options or {})
+    shape = csv_shapes(spark, [path], layout["delimiter"]).get("", NO_LINES) if layout["plain"] else None
+    if shape is None or shape["spans"] or shape["junk"]:
+        return _read_csv_exact(spark, path, layout["delimiter"], layout["header"], layout["encoding"], layout["skip"])
+    return _read_csv_lines(spark, [path], layout, shape["width"])
+
+
+def _read_csv_folder(spark: SparkSession, folder: str, files: Sequence[tuple[str, str]], options: Mapping[str, Any], column: str | None) -> Relation:
+    """Files of one layout are read together, however many there are; only oddly quoted ones are read one by one."""
+    base = re.escape(folder.rstrip("/").rsplit("/", 1)[-1])
+    path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_extract(F.coalesce(path, F.col("_metadata.file_path")), rf"^.*/{base}/([^/]+)", 1)
+    layouts = {n: _csv_layout(spark, p, options) for n, p in files}
+    shapes: dict[str, dict[str, Any]] = {}
+    for d in {x["delimiter"] for x in layouts.values() if x["plain"]}:
+        shapes |= csv_shapes(spark, [p for n, p in files if layouts[n]["plain"] and layouts[n]["delimiter"] == d], d, name)
+    together: dict[tuple, list[tuple[str, str]]] = {}
+    parts, orders = [], []
+    for n, p in files:
+        x, shape = layouts[n], shapes.get(n, NO_LINES)
+        if not x["plain"] or shape["spans"] or shape["junk"]:
+            r = _read_csv_exact(spark, p, x["delimiter"], x["header"], x["encoding"], x["skip"])
+            parts.append(r.build([(column, Cell(F.lit(n), "text")), *r.cells()]) if column else r)
+            orders.append(nested(F.lit(n), F.col(ORDER)))
+        else:
+            together.setdefault((x["delimiter"], x["header"], x["encoding"], x["first"]), []).append((n, p))
+    for group in together.values():
+        r = _read_csv_lines(spark, [p for _, p in group], layouts[group[0][0]], max(shapes.get(n, NO_LINES)["width"] for n, _ in group), name)
+        parts.append(r.build([(column, Cell(F.col(ORDER)["o0"], "text")), *r.cells()]) if column else r)
+        orders.append(F.col(ORDER))
+    return append_relations(parts, orders)
 
 
 def _read_csv_exact(spark, path, delimiter, header, encoding, skip) -> Relation:
@@ -139,18 +206,14 @@ def _read_csv_exact(spark, path, delimiter, header, encoding, skip) -> Relation:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                text = bytes(content).decode(encoding, "replace").lstrip("﻿")
-                rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter) if r][skip:]
-                for at in range(0, len(rows), 10_000):
-                    part = rows[at : at + 10_000]
-                    yield pd_frame(part, at)
-
-    def pd_frame(part, at):
         import pandas as pd
 
-        return pd.DataFrame({"at": range(at, at + len(part)), "cells": [[c if c != "" else None for c in r] for r in part]})
+        for pdf in batches:
+            for content in pdf["content"]:
+                text = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig" if encoding.upper() == "UTF-8" else encoding, errors="replace", newline="")
+                records = itertools.islice((r for r in csv.reader(text, delimiter=delimiter) if r), skip, None)
+                for at, part in zip(itertools.count(0, 10_000), iter(lambda records=records: list(itertools.islice(records, 10_000)), []), strict=False):
+                    yield pd.DataFrame({"at": range(at, at + len(part)), "cells": [[c if c != "" else None for c in r] for r in part]})
 
     grid = files.mapInPandas(parse, "at long, cells array<string>").withColumn("__f", F.monotonically_increasing_id())
     width = grid.agg(F.max(F.size("cells")).alias("n")).first()["n"] or 0
@@ -197,7 +260,7 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
         if len(names) > 1:
             table = F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k << 40))))
             at = at + F.coalesce(F.try_element_at(table, F.col("_metadata.file_name")), F.lit(0))
-        r = Relation.of(df, order=F.array(at))
+        r = Relation.of(df, order=at)
     r = r or Relation.of(df)
     return r.select(columns) if columns else r
 
@@ -255,21 +318,23 @@ def read_folder(spark: SparkSession, folder: str, source: Mapping[str, Any] | No
     source = source or {}
     pattern = (source.get("pattern") or "*").lower()
     column = source.get("fileColumn", "Source.Name")
-    parts = []
-    for name, path in list_files(spark, folder):
-        if fnmatch.fnmatchcase(name.lower(), pattern):
-            r = read_file(spark, path, source)
-            parts.append(r.build([(column, Cell(F.lit(name), "text")), *r.cells()]) if column else r)
-    if not parts:
+    files = [(n, p) for n, p in list_files(spark, folder) if fnmatch.fnmatchcase(n.lower(), pattern)]
+    if not files:
         raise StepError(f"No file in the folder matches {pattern}")
+    kind = lambda n: source.get("format") or file_kind(n)
+    if all(kind(n) == "csv" and not n.lower().endswith(".tsv") for n, _ in files):
+        return _read_csv_folder(spark, folder, files, source.get("csv") or {}, column)
+    parts = []
+    for name, path in files:
+        r = read_file(spark, path, source)
+        parts.append(r.build([(column, Cell(F.lit(name), "text")), *r.cells()]) if column else r)
     return append_relations(parts)
 
 
 def preview(r: Relation, n: int) -> tuple[Relation, bool]:
     """The first rows of a source, and whether there are more."""
-    head = r.df.orderBy(ORDER).limit(n + 1)
-    more = head.count() > n
-    return r.over(r.df.orderBy(ORDER).limit(n)), more
+    more = r.df.orderBy(*r.by_order()).limit(n + 1).count() > n
+    return r.over(r.df.orderBy(*r.by_order()).limit(n)), more
 
 
 def infer_type(values: Iterable[str | None]) -> str:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessella.functions.casts import text_of
-from tessella.relation import ORDER, Relation
+from tessella.relation import Relation
 from tessella.types import StepError
 
 EXCEL_ROWS = 1_048_575
@@ -26,9 +26,9 @@ def write(r: Relation, path: str, kind: str, *, ordered: bool = False, limit: in
     """
     df = r.df
     if limit is not None:
-        df = df.orderBy(ORDER).limit(limit)
+        df = df.orderBy(*r.by_order()).limit(limit)
     elif ordered or kind in ("arrow", "xlsx"):
-        df = df.orderBy(ORDER)
+        df = df.orderBy(*r.by_order())
     if kind in ("csv", "tsv"):
         out = df.select(*export_columns(r)).write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "")
         out.option("sep", "," if kind == "csv" else "\t").option("lineSep", "\r\n" if kind == "csv" else "\n").csv(path)

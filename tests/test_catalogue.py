@@ -25,7 +25,7 @@ def norm(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", list(catalogue.ENTRIES))
+@pytest.mark.parametrize("name", list(catalogue.queries()))
 def test_query(spark, duck, small, name):
     df = catalogue.queries()[name](spark, small)
     columns = sorted(df.columns)
