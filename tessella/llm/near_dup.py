@@ -9,25 +9,26 @@ similarity reaches the threshold.
 
 A bucket's pairs are not all formed. First every class is compared with its bucket's
 smallest one, which joins groups of copies in a linear number of pairs. After
-union-find, only buckets that still hold several components go on; there, classes of
-different components are compared by signature, block by block, and those that look
-near enough are verified as well. Buckets that are large even then are split by
-their classes' other bands first: a pair over the threshold shares more than one
-band. Links are grouped again, and the smallest document id names the component.
-
-With 32 bands of 4, a pair of similarity 0.75 shares no band with probability 5e-6,
-and none but one with 8e-5. Signatures estimate within 0.04, and pairs are dropped by
-estimate only from 0.2 below the threshold.
+union-find, only buckets that still hold several components go on; there, the sets of
+different components are compared: by signature, then, where those look near enough
+and the components are still apart, exactly, and in the bucket of the first band that
+the pair shares only. Of a bucket's links a forest is returned. A bucket is cut into
+tiles of a bounded number of shingles, each pair of tiles being a group of its own;
+one of more than SPLIT_TILES tiles is cut by its classes' other bands before, which
+leaves together what shares two bands. The smallest document id names the component.
+
+With 40 bands of 4, a pair of similarity 0.75 shares fewer than two bands with
+probability 5e-6, and none with 3e-7. Estimates from 160 slots are within 0.035, and
+pairs are dropped by estimate only from 0.16 below the threshold.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing;
 a text of fewer than five words is one shingle; rows without an id are linked with
-nothing; rows with the same id and set count as one.
+nothing; rows that share an id are one document, which is linked if any of its texts
+is, and stays or goes as a whole.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,15 +39,16 @@ from tessella.llm import common
 from tessella.llm.components import components
 
 WIDTH = 5
-SLOTS, BANDS = 128, 32
+SLOTS, BANDS = 160, 40
 SHARE = (75, 100)
 """Threshold as a fraction: links have 100 * intersection >= 75 * union."""
-SLACK = 0.2
-SPLIT_ROWS = 4_096
-"""Buckets with more classes than these are split by other bands before the second comparison.
-
-Splitting copies a class to 31 rows; up to this size, comparing by blocks costs less."""
-BLOCK = 256
+SLACK = 0.16
+TILE = 1 << 17
+"""Shingles that a tile of a bucket holds; a task compares two tiles at a time."""
+SPLIT_TILES = 16
+"""Buckets of more tiles are first split by other bands; below, copying a row to so many tiles costs less."""
+MEMBERS = 1_024
+"""Classes that are compared with their bucket's smallest one together."""
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.arange(1, SLOTS + 1, dtype=np.uint64) * _GOLDEN  # arrays wrap around without a warning
@@ -87,7 +89,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def superminhash(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """The signature of distinct element hashes: for each slot the least rank, and its fraction in 25 bits."""
+    """The signature of distinct element hashes: for each slot 16 bits of the fraction that has the least rank."""
     least = np.full(slots, np.iinfo(np.uint32).max, np.uint32)
     n = len(elements)
     rows, ranks = np.arange(n), None
@@ -107,7 +109,7 @@ def superminhash(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
         np.minimum.at(least, slot, (np.uint32(j << 25) | (z & np.uint64(0x1FFFFFF)).astype(np.uint32)))
         if least.max() < (j + 1) << 25:
             break  # all later ranks are larger than anything in the signature
-    return least
+    return least.astype(np.uint16)
 
 
 def band_hashes(signatures: np.ndarray) -> np.ndarray:
@@ -139,7 +141,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SLOTS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
 
 
 def _bands(batches):
@@ -161,91 +163,141 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return SHARE[1] * both >= SHARE[0] * (len(a) + len(b) - both)
 
 
-def _verify(batches):
-    known: OrderedDict[int, np.ndarray] = OrderedDict()
-
-    def sets(i: int, text: str) -> np.ndarray:
-        if i not in known:
-            if len(known) > 64:
-                known.popitem(last=False)
-            known[i] = shingles(text)
-        return known[i]
-
-    for batch in common.slices(batches, 64):
-        keep = [_linked(shingles(ta), sets(b, tb)) for b, ta, tb in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-
-def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, text`` of the candidates, written once for all comparisons.
+def sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``id, shingles`` (sorted hashes) of the candidate classes ``id, doc_id, key``, written once for all comparisons.
 
     Candidates are a share of the corpus that does not shrink as it grows, so the join
     is planned as a shuffle, whatever the size: the texts move once.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.materialize(texts.hint("merge").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
-
-
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` whose whole texts pass the exact test."""
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return common.materialize(with_b.mapInArrow(_verify, "a long, b long"))
 
+    def run(batches):
+        at, done = None, set()
+        for batch in common.slices(batches):
+            ids, out = [], []
+            for doc, i, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if doc != at:  # rows come sorted by document
+                    at, done = doc, set()
+                if i not in done and xxhash.xxh3_128_digest(bytes_ := shingles(text).tobytes()) == key:
+                    done.add(i)
+                    ids.append(i)
+                    out.append(bytes_)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "shingles"])
 
-def _near_across(batches):
-    """Pairs of different components within a group, whose signatures agree enough; rows come sorted by group."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.hint("merge").join(chosen, "doc_id").select("doc_id", "id", "key", "text").mapInArrow(run, "id long, shingles binary")
+
+
+def _groups(batches, keys: int):
+    """Runs of rows that agree in the first columns, as lists of the other columns' values; rows come sorted."""
+    group, held = None, []
+    for batch in common.slices(batches, 512):
+        columns = [c.to_pylist() for c in batch.columns]
+        for g, row in zip(zip(*columns[:keys], strict=True), zip(*columns[keys:], strict=True), strict=True):
+            if g != group:
+                if held:
+                    yield group, held
+                group, held = g, []
+            held.append(row)
+    if held:
+        yield group, held
+
+
+def _with_lead(batches):
+    """Links of the members of each group with its lead, which comes first."""
+    for (lead, _), rows in _groups(batches, 2):
+        first = np.frombuffer(rows[0][2], np.uint64)
+        hit = [i for side, i, found in rows if side and _linked(np.frombuffer(found, np.uint64), first)]
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array([lead] * len(hit), pa.int64())], ["a", "b"])
+
+
+def links_with_leads(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, lead`` that are links. A lead with many members meets them in several groups."""
+    counts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("salts"))
+    members = pairs.join(counts, "lead").select("lead", F.pmod(F.xxhash64("a"), "salts").alias("salt"), F.lit(1).alias("side"), F.col("a").alias("id"))
+    leads = counts.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("lead").alias("id"))
+    rows = members.unionByName(leads).join(found, "id").select("lead", "salt", "side", "id", "shingles")
+    return rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "side").mapInArrow(_with_lead, "a long, b long")
+
+
+def _across(batches):
+    """A forest of the links between different components, of the pairs of tiles in each group.
+
+    ``first`` says that rows of one tile are compared with those of another; otherwise
+    the group holds one tile, whose rows are compared with each other.
+    """
     least = SHARE[0] / SHARE[1] - SLACK
-
-    def pairs(ids, comps, n, sigs):
-        order = np.lexsort((ids, comps))
-        ids, comps, n, sigs = ids[order], comps[order], n[order], sigs[order]
-        out_a, out_b = [], []
-        for s in range(0, len(ids), BLOCK):
-            for k in range(s, min(s + BLOCK, len(ids))):
-                after = np.searchsorted(comps, comps[k], side="right")
-                if after >= len(ids):
-                    break
-                small, large = np.minimum(n[k], n[after:]), np.maximum(n[k], n[after:])
-                rest = after + np.flatnonzero(SHARE[1] * small >= SHARE[0] * large)
-                if len(rest):
-                    hit = rest[(sigs[rest] == sigs[k]).mean(axis=1) >= least]
-                    out_a += [int(ids[k])] * len(hit)
-                    out_b += ids[hit].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(out_a, out_b).astype(np.int64)), pa.array(np.minimum(out_a, out_b).astype(np.int64))], ["a", "b"])
-
-    held: list = []
-
-    def flush():
-        return pairs(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]))
-
-    group = None
-    for batch in common.slices(batches, 4096):
-        g = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        ids, comps, n, sigs = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(4).to_numpy(), _matrix(batch.column(5))
-        cuts = [0, *(k for k in range(1, len(g)) if g[k] != g[k - 1]), len(g)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if s == e:
+    for (h, h2, i, j), rows in _groups(batches, 4):
+        rows.sort(key=lambda r: (r[2], r[1]))
+        tile, ids, comp, n, sig, found = zip(*rows, strict=True)
+        tile, comp, n = np.array(tile), np.array(comp), np.array(n)
+        sigs = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, SLOTS)
+        bands = band_hashes(sigs)
+        parent: dict[int, int] = {}
+
+        def root(x: int, parent=parent) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        out: list[tuple[int, int]] = []
+        for k in range(len(ids)):
+            after = int(np.searchsorted(comp, comp[k], side="right"))
+            if after >= len(ids):
+                break
+            small, large = np.minimum(n[k], n[after:]), np.maximum(n[k], n[after:])
+            fit = SHARE[1] * small >= SHARE[0] * large
+            if i != j:
+                fit &= tile[after:] != tile[k]
+            rest = after + np.flatnonzero(fit)
+            rest = rest[(sigs[rest] == sigs[k]).mean(axis=1) >= least]
+            if not len(rest):
                 continue
-            if g[s] != group and held:
-                if sum(len(h[0]) for h in held) > 1:
-                    yield flush()
-                held = []
-            group = g[s]
-            held.append((ids[s:e], comps[s:e], n[s:e], sigs[s:e]))
-    if sum(len(h[0]) for h in held) > 1:
-        yield flush()
+            shared = bands[rest] == bands[k]
+            own = bands[k].view(np.int64)
+            mine = own[shared.argmax(axis=1)] == h
+            if h2 != h:  # and the second shared band is this group's
+                second = shared.cumsum(axis=1) == 2
+                mine &= second.any(axis=1) & (own[second.argmax(axis=1)] == h2)
+            a = np.frombuffer(found[k], np.uint64)
+            for other in rest[mine].tolist():
+                x, y = root(int(comp[k])), root(int(comp[other]))
+                if x != y and _linked(a, np.frombuffer(found[other], np.uint64)):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((ids[k], ids[other]))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
 def _split(batches):
-    """A row for each band of a class in a large bucket, but for the bucket's own."""
+    """A row for each later band of a class in a large bucket."""
     for batch in common.slices(batches, 1024):
         h = batch.column(0).to_numpy()
         other = band_hashes(_matrix(batch.column(4))).view(np.int64)
-        row, band = np.nonzero(other != h[:, None])
+        at = (other == h[:, None]).argmax(axis=1)
+        row, band = np.nonzero(np.arange(BANDS)[None, :] > at[:, None])
         take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(other[row, band]), *(batch.column(k).take(take) for k in (1, 2, 3))], ["h", "h2", "id", "comp", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(other[row, band]), *(batch.column(k).take(take) for k in (1, 2, 3, 4))], ["h", "h2", "id", "comp", "n", "sig"])
+
+
+def _mixed(rows: DataFrame, *keys: str) -> DataFrame:
+    """The groups that hold several components, with the tiles they are cut into."""
+    sizes = rows.groupBy(*keys).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.sum("n") / TILE).alias("tiles"))
+    return sizes.where("x < y").select(*keys, "tiles")
+
+
+def links_across(rows: DataFrame, sigs: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between different components of buckets. ``rows``: ``h, id, comp, n``; ``sigs``: ``id, sig``."""
+    sizes = common.materialize(_mixed(rows, "h"))
+    rest = rows.join(sizes, "h").join(sigs, "id").select("h", "id", "comp", "n", "sig", "tiles")
+    dealt = rest.where(f"tiles <= {SPLIT_TILES}").withColumn("h2", F.col("h"))
+    if not sizes.where(f"tiles > {SPLIT_TILES}").isEmpty():
+        large = rest.where(f"tiles > {SPLIT_TILES}").select("h", "id", "comp", "n", "sig")
+        large = common.materialize(large.mapInArrow(_split, "h long, h2 long, id long, comp long, n long, sig binary"))
+        dealt = dealt.unionByName(large.join(_mixed(large, "h", "h2"), ["h", "h2"]))
+    own = F.pmod(F.xxhash64("id"), "tiles")
+    dealt = dealt.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = dealt.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    dealt = dealt.join(found, "id").select("h", "h2", "i", "j", "tile", "id", "comp", "n", "sig", "shingles")
+    return dealt.repartition("h", "h2", "i", "j").sortWithinPartitions("h", "h2", "i", "j").mapInArrow(_across, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -253,43 +305,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = common.materialize(signatures(docs))
     named = sigs.where("key is not null and doc_id is not null")
     classes = named.groupBy("key").agg(F.min(F.struct("doc_id", "n", "sig")).alias("c"))
-    classes = common.materialize(classes.select("key", F.col("c.doc_id").alias("id"), "c.n", "c.sig"))
+    classes = common.materialize(classes.select("key", F.monotonically_increasing_id().alias("id"), "c.doc_id", "c.n", "c.sig"))
+    # the classes of a document with several texts belong together
+    several = named.groupBy("doc_id").agg(F.min("key").alias("k"), F.max("key").alias("l")).where("k <> l")
+    own = several.select("doc_id", F.explode(F.array("k", "l")).alias("key"))
+    if not several.isEmpty():
+        own = named.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct()
+    own = own.join(classes.select("key", "id"), "key").groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("b")).select("a", F.explode("b").alias("b")).where("a <> b")
 
     bands = classes.select("id", "n", "sig").mapInArrow(_bands, "h long, id long, n long")
     buckets = bands.groupBy("h").agg(F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    buckets = common.materialize(buckets)
-    rows = common.materialize(bands.join(buckets, "h"))
+    rows = common.materialize(bands.join(common.materialize(buckets), "h"))
+    chosen = classes.select("id", "doc_id", "key").join(rows.select("id").distinct(), "id", "left_semi")
+    found = common.materialize(sets(docs, chosen))
     fits = f"{SHARE[1]} * least(n, lead_n) >= {SHARE[0]} * greatest(n, lead_n)"
-    texts = candidate_texts(docs, rows.select("id").distinct())
-    first = verified(texts, rows.where(f"id <> lead and {fits}").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
-    groups = components(first)
+    pairs = rows.where(f"id <> lead and {fits}").select(F.col("id").alias("a"), "lead").distinct()
+    links = common.materialize(links_with_leads(pairs, found).unionByName(own))
+    groups = components(links)
 
     # buckets of three or more that still hold several components
-    rows = rows.where("m > 2").select("h", "id", "n")
-    rows = rows.join(groups, "id", "left").select("h", "id", F.coalesce("component", "id").alias("comp"), "n")
-    rows = common.materialize(rows)
-    mixed = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m")).where("x < y")
-    mixed = common.materialize(mixed.select("h", "m"))
-    links = first
-    if not mixed.isEmpty():
-        by_id = classes.select("id", "sig")
-        rest = rows.join(mixed, "h").join(by_id, "id")
-        small = rest.where(f"m <= {SPLIT_ROWS}").select("h", F.lit(0).cast("long").alias("h2"), "id", "comp", "n", "sig")
-        split = rest.where(f"m > {SPLIT_ROWS}").select("h", "id", "comp", "n", "sig").mapInArrow(_split, "h long, h2 long, id long, comp long, n long")
-        split = split.join(by_id, "id").select("h", "h2", "id", "comp", "n", "sig")
-        found = small.unionByName(split).repartition("h", "h2").sortWithinPartitions("h", "h2").mapInArrow(_near_across, "a long, b long")
-        second = verified(texts, common.materialize(found.distinct()))
-        if not second.isEmpty():
-            links = first.unionByName(second)
-            groups = components(links)
-    named_classes = classes.select("key", "id").join(groups, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    out = sigs.select("doc_id", "n", "key").join(named_classes, "key", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        (F.col("component").isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component"))).alias("kept"),
-    )
+    rows = rows.where("m > 2").select("h", "id", "n").join(groups, "id", "left").select("h", "id", F.coalesce("component", "id").alias("comp"), "n")
+    more = common.materialize(links_across(common.materialize(rows), classes.select("id", "sig"), found))
+    if not more.isEmpty():
+        groups = components(links.unionByName(more))
+    members = groups.join(classes.select("id", "key", "doc_id"), "id")
+    least = members.groupBy("component").agg(F.min("doc_id").alias("least"))
+    grouped = members.join(least, "component").select("key", "least")
+    alone = classes.join(groups, "id", "left_anti").select("key", F.col("doc_id").alias("least"))
+    out = sigs.select("doc_id", "n", "key").join(grouped.unionByName(alone), "key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

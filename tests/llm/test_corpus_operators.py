@@ -80,12 +80,21 @@ def copies():
     for k in range(25):  # neighbours are near, ends are not
         chain[4 * k % 100] = word()
         texts.append(" ".join(chain))
-    return texts + texts[-3:]
-
-
-@pytest.mark.parametrize("split", [near_dup.SPLIT_ROWS, 2])
-def test_near_duplicates_by_hand(spark, split, monkeypatch):
-    monkeypatch.setattr(near_dup, "SPLIT_ROWS", split)
+    hub = [word() for _ in range(100)]
+    for _ in range(60):  # near to the first one, not to each other
+        other = list(hub)
+        for _ in range(3):
+            other[random.randrange(len(other))] = word()
+        texts.append(" ".join(other))
+    long = [word() for _ in range(30_000)]
+    return texts + [" ".join(long), " ".join(long[:29_000]), " ".join(long[:20_000])] + texts[-3:]
+
+
+@pytest.mark.parametrize("tile, split, members", [(near_dup.TILE, near_dup.SPLIT_TILES, near_dup.MEMBERS), (300, 16, 3), (200, 1, 1)])
+def test_near_duplicates_by_hand(spark, tile, split, members, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE", tile)
+    monkeypatch.setattr(near_dup, "SPLIT_TILES", split)
+    monkeypatch.setattr(near_dup, "MEMBERS", members)
     texts = copies()
     sets = [shingle_set(t) for t in texts]
     links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
@@ -95,6 +104,17 @@ def test_near_duplicates_by_hand(spark, split, monkeypatch):
     assert len(got) == len(texts)
 
 
+def test_near_duplicates_with_odd_ids(spark):
+    a, b, c = ("one two three four five six seven eight", "nine ten eleven twelve a b c d e f", "g h i j k l m n")
+    rows = [(5, a), (2, a), (2, a), (7, b), (7, c), (3, b), (9, c), (None, a), (None, None), (11, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_dup.near_duplicates(docs).collect()}
+    # 7 has two texts and joins 3 and 9
+    assert got == {(5, 4): (2, False), (2, 4): (2, True), (7, 6): (3, False), (7, 4): (3, False), (3, 6): (3, True), (9, 4): (3, False), (None, 4): (None, True), (None, 0): (None, True), (11, 0): (11, True)}
+    kept = near_dup.drop_near_duplicates(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(2, a), (2, a), (3, b), (0, a), (0, ""), (11, "")])
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = frame(spark, ["a b c d e f"] * 3)
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
