@@ -152,18 +152,68 @@ def test_embeddings_by_hand(spark):
     assert embedding_dup.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize("terms, most", [(60, 40), (60, 8), (5_000, 60)])
+def test_block_max_index_is_exact(terms, most):
     rng = np.random.default_rng(2)
     vectors = []
-    for _ in range(500):
-        f = rng.choice(60, rng.integers(1, 8), replace=False)
-        w = rng.random(len(f))
-        vectors.append(dict(zip(f.tolist(), (w / np.linalg.norm(w)).tolist(), strict=True)))
-    index = toxicity.BlockMaxIndex(vectors, np.zeros(500, int), np.arange(500), 60)
-    for q in vectors[:80]:
-        cosines = sorted(((sum(w * v.get(f, 0) for f, w in q.items()), -e) for e, v in enumerate(vectors)), reverse=True)
-        want = [c for c, _ in cosines[:9] if c > 1e-12]
-        assert np.allclose([c for c, _ in index.nearest(q, 9)], want)
+    for _ in range(700):
+        f = np.sort(rng.choice(terms, rng.integers(0, most), replace=False))
+        w = rng.random(len(f)) ** 4
+        vectors.append((f, w / np.linalg.norm(w) if len(w) else w))
+    grid = np.zeros((len(vectors), terms))
+    for e, (f, w) in enumerate(vectors):
+        grid[e, f] = w
+    index = toxicity.BlockMaxIndex(list(vectors), np.zeros(700, int), np.arange(700), terms)
+    for q in range(120):
+        cosines = grid @ grid[q]
+        cosines[q] = 0
+        for k in (9, 25):
+            want = sorted(((-c, e) for e, c in enumerate(cosines) if c > 0))[:k]
+            got = index.nearest(vectors[q], k, without=[q])
+            assert np.allclose([c for c, _ in got], [-c for c, _ in want])
+            assert all(abs(cosines[e] - c) < 1e-9 for c, e in got)
+
+
+def test_toxicity_equals_brute_force(spark, small):
+    """Weights, vectors, neighbours, votes and scores of all documents, from the definitions."""
+    docs, labels = common.documents(spark, small), common.labels(spark, small)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    norm = {r["doc_id"]: toxicity.normal(r["text"]) for r in docs.collect()}
+    examples = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] in (0, 1) and r["doc_id"] in norm}
+    n1, n0 = sum(examples.values()), sum(1 - y for y in examples.values())
+    assert sorted(model.index.ids.tolist()) == sorted(examples)
+    terms = {w for i in examples for w in norm[i].split()}
+    assert terms == set(model.names[: model.words])
+    pieces = model.names[model.words :]
+
+    def weight(has):
+        a, b = (sum(has(norm[i]) for i, y in examples.items() if y == side) for side in (1, 0))
+        part = (a + b) * (n0 + n1 - a - b) * n1 * n0
+        chi2 = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / part if part and a * n0 > b * n1 else 0.0
+        return (math.log((1 + n0 + n1) / (1 + a + b)) + 1) * (0.3 + 0.7 * chi2 / (chi2 + 24))
+
+    weights = {("word", w): weight(lambda t, w=w: f" {w} " in t) for w in terms} | {("piece", p): weight(lambda t, p=p: p in t) for p in pieces}
+
+    def vector(t):
+        counts = {("word", w): t.split().count(w) for w in set(t.split()) & terms} | {("piece", p): sum(t.startswith(p, k) for k in range(len(t))) for p in pieces if p in t}
+        raw = {x: (1 + math.log(n)) * weights[x] for x, n in counts.items()}
+        length = math.sqrt(sum(w * w for w in raw.values()))
+        return {x: w / length for x, w in raw.items()}
+
+    known, place = {i: vector(norm[i]) for i in examples}, {e: k for k, e in enumerate(model.index.ids.tolist())}
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, model).collect()}
+    assert len(got) == len(norm)
+    for i, t in norm.items():
+        v = vector(t)
+        cosines = sorted((-round(sum(w * known[e].get(x, 0) for x, w in v.items()), 12), place[e], e) for e in examples if norm[e] != t)
+        near = [(-c, e) for c, _, e in cosines if c < 0][:25]
+        assert np.allclose(got[i]["near_cosines"], [c for c, _ in near[:5]])
+        votes = [0.5, 0.5]
+        for c, e in near:
+            votes[examples[e]] += c / (0.1 + max(0.0, 1 - c))
+        z = model.slope * math.log(votes[1] / votes[0]) + model.offset
+        assert math.isclose(got[i]["score"], 1 / (1 + math.exp(-max(-30, min(30, z)))), abs_tol=1e-9)
+        assert bool(got[i]["near_ids"]) == bool(near)
 
 
 def test_toxicity_held_out(spark, small):
@@ -184,6 +234,17 @@ def test_toxicity_without_labels(spark, small):
     assert stage.columns == docs.columns and stage.count() == 3
 
 
+def test_toxicity_of_odd_rows(spark, small):
+    docs, labels = common.documents(spark, small), common.labels(spark, small)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    text = docs.where("text is not null").first()["text"]
+    odd = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text * 400), (3, "zzqx " * 50_000), (4, None), (5, "")], "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("toxic", F.lit(1))
+    got = toxicity.score_documents(odd, model).collect()
+    assert len(got) == 7 and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got[:3]}) == 1 and len({r["score"] for r in got[4:]}) == 1
+    assert toxicity.drop_toxic(odd, labels).columns == odd.columns
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(5)
     for n in range(1, 7):
