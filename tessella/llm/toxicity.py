@@ -38,7 +38,7 @@ EXAMPLES = 2_500
 """Labelled documents of each class that are indexed."""
 CALIBRATION = 800
 """Of these, documents of each class that the logistic curve is fitted on."""
-RELEVANCE, HALFWAY = 0.3, 24.0
+RELEVANCE, HALFWAY = 0.12, 24.0
 """The least share of its TF-IDF that a term weighs, and the chi-squared value that is half-way to the whole."""
 PIECE_CHI2, PIECE_LIFT, PIECE_DOCS = 24.0, 8.0, 3
 """Pieces of words are terms if they are so surely, and by so much, more frequent in toxic examples."""

@@ -190,7 +190,7 @@ def test_toxicity_equals_brute_force(spark, small):
         a, b = (sum(has(norm[i]) for i, y in examples.items() if y == side) for side in (1, 0))
         part = (a + b) * (n0 + n1 - a - b) * n1 * n0
         chi2 = (n0 + n1) * (a * (n0 - b) - b * (n1 - a)) ** 2 / part if part and a * n0 > b * n1 else 0.0
-        return (math.log((1 + n0 + n1) / (1 + a + b)) + 1) * (0.3 + 0.7 * chi2 / (chi2 + 24))
+        return (math.log((1 + n0 + n1) / (1 + a + b)) + 1) * (toxicity.RELEVANCE + (1 - toxicity.RELEVANCE) * chi2 / (chi2 + toxicity.HALFWAY))
 
     weights = {("word", w): weight(lambda t, w=w: f" {w} " in t) for w in terms} | {("piece", p): weight(lambda t, p=p: p in t) for p in pieces}
 
