@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 
-EXAMPLES = 2_500
+EXAMPLES = 1_600
 """Labelled documents of each class that are indexed."""
 CALIBRATION = 800
 """Of these, documents of each class that the logistic curve is fitted on."""
@@ -46,7 +46,7 @@ NEIGHBOURS = 25
 SHOWN = 5
 """Neighbours that are named as evidence."""
 BLOCK = 64
-FREQUENT = 10
+FREQUENT = 4
 """Terms of more than this share (1 / FREQUENT) of the examples are kept by blocks."""
 PIECE = 5
 PREFIXES = range(4, 11)
@@ -184,7 +184,8 @@ class ToxicityModel:
             if len(self.names) > self.words:
                 self._automaton.make_automaton()
         places = self._places
-        counts = {k: n for word, n in Counter(norm.split()).items() if (k := places.get(word)) is not None}
+        counts = Counter(map(places.get, norm.split()))
+        counts.pop(None, None)
         if len(self.names) > self.words:
             counts.update(Counter(k for _, k in self._automaton.iter(norm)))
         if not counts:
