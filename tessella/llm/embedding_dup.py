@@ -8,6 +8,11 @@ halves together), until the bound exceeds the radius that belongs to the thresho
 no cell left can hold a link, so the target recall is 1. What is visited is verified by
 cosine in double precision.
 
+Finer grids have smaller cells, but a vector then has more cells within the radius. For
+each vector length several grids are trained, and the cells that a vector visits are
+counted on the sample; each label takes the grid by which its rows have to be sent to
+the fewest places. So grids grow with a label's rows, each label by its own.
+
 Equal vectors form classes first. A cell's rows are cut into blocks, and a task
 compares one block with another: neither a cell nor a label is held by one task.
 Blocks return link counts and a spanning forest of the links, not the pairs.
@@ -32,12 +37,11 @@ from tessella.llm import common
 from tessella.llm.components import components, find_roots
 
 THRESHOLD = 0.98
-SAMPLE = 4_096
-"""Vectors that the codebooks are fitted on."""
+SAMPLE, PROBED = 16_384, 256
+"""Vectors of a length that the codebooks are fitted on, and those that visits are counted on."""
 BLOCK = 256
-MOST_CODES = 64
-"""Codes of a half. As many are used as give a label's cells about a block of rows each:
-with smaller cells a vector has to be sent to more of them than comparing saves."""
+LEVELS = (2, 4, 8, 16, 32, 64, 128, 256, 512)
+"""Codes of a half, of the grids to choose from."""
 
 
 def prepared(table: DataFrame) -> DataFrame:
@@ -97,6 +101,11 @@ class MultiIndex:
         k = max(1, min(codes, len(x) // 8))
         return cls((kmeans(x[:, :cut], k), kmeans(x[:, cut:], k)), cut)
 
+    def visits(self, x: np.ndarray, radius2: float) -> float:
+        """How many cells a row visits on average."""
+        _, _, first, second = self.bounds(x)
+        return float(np.mean([len(self.visit(a, b, radius2)) for a, b in zip(first, second, strict=True)]))
+
     def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The codes of each row, and for each code of a half a lower bound of the squared
         distance, in that half, between the row and anything that has that code."""
@@ -128,6 +137,22 @@ class MultiIndex:
         return cells
 
 
+def train_grids(rows: list[bytes], most: int, radius2: float) -> dict[int, tuple[MultiIndex, float]]:
+    """Grids for the vectors of one length by their codes, with their visits, as far as ``most`` rows of a label use them."""
+    x, out = unit(rows), {}
+    for codes in LEVELS:
+        if codes > 2 and (codes // 2) ** 2 * BLOCK / 4 > most or codes > max(2, len(x) // 8):
+            break
+        grid = MultiIndex.train(x, codes)
+        out[codes] = (grid, grid.visits(x[:PROBED], radius2))
+    return out
+
+
+def best_grid(grids: dict[int, tuple[MultiIndex, float]], rows: float) -> int:
+    """The codes by which ``rows`` rows of a label are sent to the fewest blocks."""
+    return min(grids, key=lambda k: (grids[k][1] * max(1.0, rows / (k * k * BLOCK)), k))
+
+
 def _compare(batches, threshold: float):
     """Links between the left and right rows of each group; rows come sorted by group."""
 
@@ -188,28 +213,26 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD) -> Da
     classes = common.materialize(good.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("m"), F.first("vec").alias("vec")))
 
     # the sample's order, and so its codebooks, depend on the vectors' bytes only
-    sample = classes.select("dim", "vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()
-    by_dim: dict[int, list[bytes]] = {}
-    for r in sample:
-        by_dim.setdefault(r["dim"], []).append(bytes(r["vec"]))
-    rows_each = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("n")).first()["n"] or 0
-    codes = int(min(MOST_CODES, max(2, round((rows_each / BLOCK) ** 0.5))))
-    index = spark.sparkContext.broadcast({d: MultiIndex.train(unit(v), codes) for d, v in by_dim.items()})
     radius2 = 2 - 2 * threshold + 1e-9
+    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("rows"))
+    grids: dict[int, dict[int, tuple[MultiIndex, float]]] = {}
+    for d, most in sizes.groupBy("dim").agg(F.max("rows").alias("most")).collect():
+        sample = classes.where(F.col("dim") == d).select("vec").orderBy(F.xxhash64("vec"), "vec").limit(min(SAMPLE, max(4 * BLOCK, most))).collect()
+        grids[d] = train_grids([bytes(x["vec"]) for x in sample], most, radius2)
+    index = spark.sparkContext.broadcast({(d, k): grid for d, g in grids.items() for k, (grid, _) in g.items()})
+    # the grid of a label by the power of two below its rows
+    chosen = F.create_map(*(F.lit(x) for d, g in grids.items() for p in range(48) for x in (d * 64 + p, best_grid(g, 1.5 * 2**p)))) if grids else F.create_map(F.lit(0), F.lit(2))
+    power = F.floor(F.log2(F.col("rows").cast("double"))).cast("int")
+    sizes = sizes.select("label", "dim", F.element_at(chosen, F.col("dim") * 64 + power).alias("codes"))
 
     def place(batches):
         for batch in common.slices(batches, 1024):
-            dims = np.array(batch.column(2).to_pylist())
+            kinds = np.stack([batch.column(2).to_numpy(), batch.column(5).to_numpy()], axis=1)
             vecs = batch.column(4).to_pylist()
             take, cells, probe = [], [], []
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                multi = index.value.get(int(d))
-                if multi is None:  # a length that the sample doesn't show: one cell
-                    take += at.tolist()
-                    cells += [0] * len(at)
-                    probe += [False] * len(at)
-                    continue
+            for d, k in np.unique(kinds, axis=0).tolist():
+                at = np.flatnonzero((kinds == (d, k)).all(axis=1))
+                multi = index.value[d, k]
                 one, two, first, second = multi.bounds(unit([vecs[k] for k in at]))
                 width = len(multi.halves[1])
                 for k, row in enumerate(at):
@@ -225,7 +248,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD) -> Da
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at), batch.column(4).take(at), pa.array(cells, pa.int64()), pa.array(probe, pa.bool_())], ["id", "label", "dim", "m", "vec", "cell", "probe"])
 
-    placed = classes.select("id", "label", "dim", "m", "vec").mapInArrow(place, "id long, label string, dim int, m long, vec binary, cell long, probe boolean")
+    placed = classes.join(sizes, ["label", "dim"]).select("id", "label", "dim", "m", "vec", "codes").mapInArrow(place, "id long, label string, dim int, m long, vec binary, cell long, probe boolean")
     placed = common.materialize(placed)
     where = ["label", "dim", "cell"]
     sizes = placed.groupBy(*where).agg(F.ceil(F.count_if(~F.col("probe")) / BLOCK).alias("right_n"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("left_n")).where("right_n > 0")

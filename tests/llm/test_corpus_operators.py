@@ -152,6 +152,37 @@ def test_embeddings_by_hand(spark):
     assert embedding_dup.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("levels, block", [((2,), 256), ((8,), 64), ((16,), 32), (embedding_dup.LEVELS, 8)])
+def test_embeddings_on_larger_grids(spark, levels, block, monkeypatch):
+    """Recall 1 on grids of many codes, with a label that holds most rows, and rows placed in proportion to rows."""
+    monkeypatch.setattr(embedding_dup, "LEVELS", levels)
+    monkeypatch.setattr(embedding_dup, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(120, 24))
+    x = centres[rng.integers(0, 120, 2_400)] + rng.normal(size=(2_400, 24)) * rng.choice([0.03, 0.08, 0.12, 1.0], (2_400, 1))
+    label = np.where(rng.random(2_400) < 0.8, 0, rng.integers(1, 6, 2_400))
+    x[2_000:2_100] = x[:100]
+    label[2_000:2_100] = label[:100]
+    table = spark.createDataFrame([(int(k), v.tolist(), int(y), 1, "x") for k, (v, y) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int, dim int, key string")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    want = groups([(a, b) for a, b in zip(*np.nonzero(hit), strict=True) if a < b], range(len(x)))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dup.near_duplicate_vectors(table).collect()}
+    assert hit.sum() > 2_000
+    assert got == {k: (int(hit[k].sum()), want[k], want[k] == k) for k in range(len(x))}
+
+
+def test_grids_follow_the_rows_of_a_label():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(300, 32))
+    rows = [v.tobytes() for v in centres[rng.integers(0, 300, 6_000)] + rng.normal(size=(6_000, 32)) * 0.1]
+    grids = embedding_dup.train_grids(rows, 10**7, 0.04)
+    assert list(grids) == [k for k in embedding_dup.LEVELS if k <= 6_000 // 8]
+    best = [embedding_dup.best_grid(grids, n) for n in (10, 10**4, 10**5, 10**6, 10**7)]
+    assert best[0] == 2 and best == sorted(best) and best[-1] >= 32
+    assert list(embedding_dup.train_grids(rows[:20], 10**7, 0.04)) == [2]
+
+
 @pytest.mark.parametrize("terms, most", [(60, 40), (60, 8), (5_000, 60)])
 def test_block_max_index_is_exact(terms, most):
     rng = np.random.default_rng(2)
