@@ -58,7 +58,7 @@ def prepared(table: DataFrame) -> DataFrame:
                     if not np.isfinite(x).all() or not x.any():
                         x = None
                 dims.append(0 if x is None else len(x))
-                vecs.append(None if x is None else x.tobytes())
+                vecs.append(None if x is None else packed(x))
                 keys.append(None if x is None else xxhash.xxh3_128_digest(vecs[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "label", "dim", "key", "vec"])
 
@@ -66,8 +66,20 @@ def prepared(table: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "vec_id long, label string, dim int, key binary, vec binary")
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A vector's bytes: a letter for the precision, and single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return b"f" + single.tobytes() if np.array_equal(single.astype(np.float64), x) else b"d" + x.tobytes()
+
+
 def unit(rows: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+    """Packed vectors of one length as unit rows, in double precision."""
+    if len({r[:1] for r in rows}) == 1:
+        kind = np.float32 if rows[0][:1] == b"f" else np.float64
+        x = np.frombuffer(b"".join(r[1:] for r in rows), kind).reshape(len(rows), -1).astype(np.float64)
+    else:
+        x = np.stack([np.frombuffer(r[1:], np.float32 if r[:1] == b"f" else np.float64).astype(np.float64) for r in rows])
     x = x / np.abs(x).max(axis=1, keepdims=True)  # squares must not overflow
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
