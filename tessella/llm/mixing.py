@@ -13,8 +13,9 @@ cell, the cells' prefix sums show in which cell the budget ends, and only that c
 rows are sorted. A document is then taken or not by comparing its key with its
 source's bound.
 
-Defined cases: a null text has size 0; documents without an id share one key; null is
-a source of its own, last; a source without words has target 0; the document across
+Defined cases: a null text has size 0; documents without an id are told apart by their
+texts; rows that share an id, or a text if they have none, are taken alike; null is a
+source of its own, last; a source without words has target 0; the document across
 the bound is taken if that brings the source nearer to its target; ties in the key
 follow the id.
 """
@@ -45,9 +46,10 @@ def quality_weight(text: Column, size: Column) -> Column:
     return 1.0 / (1.0 + 10.0 * symbols / F.greatest(size, F.lit(1)))
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    """-ln(u) / weight, with u in (0, 1) from a hash of the id."""
-    digits = F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256), 1, 13), 16, 10).cast("long")
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: str = SEED) -> Column:
+    """-ln(u) / weight, with u in (0, 1) from a hash of the id, or of the text where there is no id."""
+    name = F.coalesce(doc_id.cast("string"), F.sha2(F.coalesce(text, F.lit("")), 256))
+    digits = F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), name), 256), 1, 13), 16, 10).cast("long")
     return -F.ln((digits + 0.5) / float(1 << 52)) / weight
 
 
@@ -55,7 +57,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, key``: what the plan needs of each document."""
     text = F.col("text").cast("string")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), text.alias("text"))
-    return sized.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("size"))).alias("key"))
+    return sized.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text"), F.col("size"))).alias("key"))
 
 
 def _cell(scale: float) -> Column:
@@ -134,7 +136,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     bounds, scale = plan(common.materialize(keyed(docs)), **options)
     text = F.col(own["text"]).cast("string")
     rows = docs.select(*(F.col(c).alias(k) for c, k in own.items()))
-    rows = rows.withColumn("doc_id", F.col(own["doc_id"]).cast("long")).withColumn("key", sampling_key(F.col("doc_id"), quality_weight(text, size_of(text))))
+    rows = rows.withColumn("doc_id", F.col(own["doc_id"]).cast("long")).withColumn("key", sampling_key(F.col("doc_id"), text, quality_weight(text, size_of(text))))
     joined = rows.join(bounds, F.col(own["source"]).cast("string").eqNullSafe(F.col("source")))
     times = _taken(scale).cast("int")
     return joined.withColumn("__times", times).where("__times > 0").select(F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n"), *own.values()).select(*(F.col(k).alias(c) for c, k in own.items()))

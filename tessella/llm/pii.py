@@ -46,35 +46,53 @@ LOOK_ALIKES = dict(
     )
 )
 INVISIBLE = frozenset("­​‌‍‎‏⁠﻿")
-#: Digit words.
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Digit words of English, German, French and Spanish, from zero to nine, and other forms.
+DIGIT_WORDS = {
+    word: str(k)
+    for words in (
+        "zero one two three four five six seven eight nine",
+        "null eins zwei drei vier fünf sechs sieben acht neun",
+        "zéro un deux trois quatre cinq six sept huit neuf",
+        "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for k, word in enumerate(words.split())
+} | {"oh": "0", "zwo": "2", "fuenf": "5", "une": "1"}
 TIMES = {"double": 2, "triple": 3}
-#: Endings of domain names that a bare "dot", or a dot after a sign with spaces, must lead to: common ones and all countries'.
+PLUS, POINT = ("plus", "más", "mas"), ("dot", "point", "punkt", "punto")
+#: What the sign and the dot of an address are called.
+AT_WORDS, DOT_WORDS = "at|ät|arroba|arobase|klammeraffe", "dot|punkt|punto|point"
+#: Endings of domain names that a bare "dot", or a dot after a sign with spaces, must lead to,
+#: beside any two letters that are no common English word.
 ENDINGS = tuple(
     (
         "com org net edu gov mil int info biz name pro mobi jobs travel museum coop aero asia dev app xyz online site website store shop tech cloud email blog club news page live "
-        "space world digital agency network systems software studio design media group team academy company consulting solutions services support work zone top link wiki art bank law "
-        "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
-        "de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp "
-        "ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz "
-        "om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz "
-        "ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+        "space world digital agency network systems software studio design media group team academy company consulting solutions services support work zone top link wiki art bank law"
     ).split()
 )
+NO_ENDINGS = ("an", "go", "he", "if", "of", "on", "or", "up", "we")
 
-NUMBER = "(?:" + "|".join(DIGIT_WORDS) + ")"
-SPELLED = re.compile(rf"\b(?:plus[\s,-]+)?(?:(?:double|triple)\s+)?{NUMBER}\b(?:[\s,.()-]{{1,3}}(?:(?:dot|point)\s+)?(?:(?:double|triple)\s+)?(?:{NUMBER}\b|[0-9]+\b)){{3,}}", re.I)
-SPELLED_PART = re.compile(rf"plus|double|triple|dot|point|{NUMBER}\b|[0-9]+", re.I)
+NUMBER = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w))) + ")"
+SPELLED = re.compile(rf"\b(?:(?:{'|'.join(PLUS)})[\s,-]+)?(?:(?:double|triple)\s+)?{NUMBER}\b(?:[\s,.()-]{{1,3}}(?:(?:{'|'.join(POINT)})\s+)?(?:(?:double|triple)\s+)?(?:{NUMBER}\b|[0-9]+\b)){{3,}}", re.I)
+SPELLED_PART = re.compile(rf"(?:{'|'.join(PLUS)}|double|triple|{'|'.join(POINT)}|{NUMBER})\b|[0-9]+", re.I)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
-AT_SIGN = re.compile(rf"(?<=[A-Za-z0-9])\s{{0,2}}{OPEN}\s{{0,2}}(?:at|@)\s{{0,2}}{CLOSE}\s{{0,2}}(?=[A-Za-z0-9])", re.I)
-DOT_SIGN = re.compile(rf"(?<=[A-Za-z0-9])\s{{0,2}}{OPEN}\s{{0,2}}(?:dot|\.)\s{{0,2}}{CLOSE}\s{{0,2}}(?=[A-Za-z0-9])", re.I)
+AT_SIGN = re.compile(rf"(?<=[A-Za-z0-9])\s{{0,2}}{OPEN}\s{{0,2}}(?:{AT_WORDS}|@)\s{{0,2}}{CLOSE}\s{{0,2}}(?=[A-Za-z0-9])", re.I)
+DOT_SIGN = re.compile(rf"(?<=[A-Za-z0-9])\s{{0,2}}{OPEN}\s{{0,2}}(?:{DOT_WORDS}|\.)\s{{0,2}}{CLOSE}\s{{0,2}}(?=[A-Za-z0-9])", re.I)
 PART = r"[A-Za-z0-9_-]{1,63}"
-ENDING = f"(?:{'|'.join(ENDINGS)})"
+ENDING = rf"(?:{'|'.join(ENDINGS)}|(?!(?:{'|'.join(NO_ENDINGS)})\b)[A-Za-z]{{2}})"
 LABELS = rf"{PART}(?:(?:\s{{1,2}}dot\s{{1,2}}|\.){PART}){{0,3}}"
-BARE = re.compile(rf"(?<![A-Za-z0-9._%+@-])(?:{PART}(?:\.|\s+dot\s+)){{0,3}}{PART}(?:(\s{{1,2}}at\s{{1,2}}|\s?@\s?){LABELS}\s{{1,2}}dot\s{{1,2}}{ENDING}|(\s{{1,2}}@\s{{0,2}}|@\s{{1,2}}){LABELS}\.{ENDING})\b", re.I)
+#: Addresses in words: "at" goes with "dot" only, other names of the sign with any name of the dot.
+OTHER_AT = "arroba|arobase|klammeraffe"
+OTHER_LABELS = rf"{PART}(?:(?:\s{{1,2}}(?:{DOT_WORDS})\s{{1,2}}|\.){PART}){{0,3}}"
+BARE = re.compile(
+    rf"(?<![A-Za-z0-9._%+@-])(?:{PART}(?:\.|\s+(?:dot|punkt|punto)\s+)){{0,3}}{PART}"
+    rf"(?:(\s{{1,2}}at\s{{1,2}}|\s?@\s?){LABELS}\s{{1,2}}dot\s{{1,2}}{ENDING}|(\s{{1,2}}@\s{{0,2}}|@\s{{1,2}}){LABELS}\.{ENDING}"
+    rf"|(\s{{1,2}}(?:{OTHER_AT})\s{{1,2}}){OTHER_LABELS}(?:\s{{1,2}}(?:{DOT_WORDS})\s{{1,2}}|\.){ENDING})\b",
+    re.I,
+)
 SPACED = re.compile(r"\s@|@\s")
 BARE_WORDS = re.compile(r"\b(?:the|a|an|this|that|its|their|our|your)\s{1,2}dot\s", re.I)
-BARE_DOT = re.compile(r"\s{1,2}dot\s{1,2}", re.I)
+BARE_DOT = re.compile(rf"\s{{1,2}}(?:{DOT_WORDS})\s{{1,2}}", re.I)
+OTHER_SIGN = re.compile(rf"\s(?:{OTHER_AT})\s", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -190,9 +208,9 @@ def fold_spelled(text: str) -> list[tuple[int, int, str]]:
             if word in TIMES:
                 times = TIMES[word]
                 continue
-            if word == "plus":
+            if word in PLUS:
                 out += "+"
-            elif word in ("dot", "point"):
+            elif word in POINT:
                 out += "."
             else:
                 out += DIGIT_WORDS.get(word, word) * times
@@ -222,14 +240,14 @@ def fold_letters(text: str) -> list[tuple[int, int, str]]:
 DISGUISES = (
     (lambda t: not t.isascii(), fold_characters),
     (lambda t: AT_SIGN.search(t) is not None or DOT_SIGN.search(t) is not None, lambda t: sorted([(*m.span(), "@") for m in AT_SIGN.finditer(t)] + [(*m.span(), ".") for m in DOT_SIGN.finditer(t)])),
-    (lambda t: "dot" in t.lower() or SPACED.search(t) is not None, fold_bare),
+    (lambda t: "dot" in t.lower() or SPACED.search(t) is not None or OTHER_SIGN.search(t) is not None, fold_bare),
     (lambda t: True, fold_spelled),
     (lambda t: True, fold_letters),
 )
 
 #: A text in which none of these occurs has no disguise. A match of MIXED with a letter and a digit
 #: has the two side by side, and the letter's run of letters and digits is of MIXED's characters only.
-HINTS = re.compile(rf"[^\x00-\xff]|[\xad\xb2\xb3\xb9]|{OPEN}\s{{0,2}}(?:at|@|dot|\.)\s{{0,2}}{CLOSE}|\sdot\s|\s@|@\s|(?-i:[0-9][ .()-]{{0,2}}[OolI][0-9OolI]*(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9OolI]*[OolI][ .()-]{{0,2}}[0-9])|\b{NUMBER}[\s,.()-]{{1,3}}(?:{NUMBER}|double|triple|dot|point|[0-9])", re.I)
+HINTS = re.compile(rf"[^\x00-\xff]|[\xad\xb2\xb3\xb9]|{OPEN}\s{{0,2}}(?:{AT_WORDS}|@|{DOT_WORDS}|\.)\s{{0,2}}{CLOSE}|\s(?:dot|{OTHER_AT})\s|\s@|@\s|(?-i:[0-9][ .()-]{{0,2}}[OolI][0-9OolI]*(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9OolI]*[OolI][ .()-]{{0,2}}[0-9])|\b{NUMBER}[\s,.()-]{{1,3}}(?:{NUMBER}|double|triple|{'|'.join(POINT)}|[0-9])", re.I)
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:

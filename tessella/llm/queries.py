@@ -6,7 +6,6 @@ tables and derives the digest columns of its contract.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +13,12 @@ from pyspark.sql import functions as F
 
 from tessella.llm import bpe, common, embedding_dup, licenses, lines, mixing, near_dup, pii, rules, sharding, toxicity
 
-TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-"""Folder of the public vocabulary files."""
-
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    return os.path.join(TOKENIZER_DIR, name)
+    """Where the public vocabulary file of this name is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ buckets' rows, one bucket after another, round-robin to the shards: shard sizes
 rows differ by one at most, and slots have no gap.
 
 A bucket is the only thing that one task holds, and its size does not depend on the
-table's. Defined cases: a null text has no bytes and the crc32 of none; repeated rows
-are dealt as separate rows; rows without an id scatter by their text; an empty table
-gives no rows.
+table's: rows scatter by their id and text, and of rows that agree in both more often
+than a bucket has rows, each scatters by its place, written down once. Defined cases:
+a null text has no bytes and the crc32 of none; repeated rows are dealt as separate
+rows; rows without an id scatter by their text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,6 +51,16 @@ def bucket_offsets(buckets: DataFrame) -> DataFrame:
     return buckets.join(groups, "grp").select("bucket", (F.col("grp_before") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("before"))
 
 
+def salted(records: DataFrame, most: int) -> DataFrame:
+    """``records`` with ``__salt``: null but for rows whose id and text occur more than ``most`` times."""
+    often = records.groupBy("doc_id", "text_crc32").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    if often.isEmpty():
+        return records.withColumn("__salt", F.lit(None).cast("long"))
+    r, o = records.alias("r"), often.alias("o")
+    same = F.col("r.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("r.text_crc32") == F.col("o.text_crc32"))
+    return common.materialize(r.join(o, same, "left").select("r.*", F.when(F.col("n").isNotNull(), F.monotonically_increasing_id()).alias("__salt")))
+
+
 def deal(records: DataFrame, shards: int = SHARDS, *, seed: int = 17, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``records`` (with ``doc_id, size, text_crc32`` and any payload) and their ``shard`` and ``slot``.
 
@@ -58,7 +69,7 @@ def deal(records: DataFrame, shards: int = SHARDS, *, seed: int = 17, bucket_byt
     total = records.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
     n = max(1, -(-total["bytes"] // bucket_bytes), -(-total["rows"] // bucket_rows))
     # the hash of an id: rows with an id in common are told apart by their texts
-    scattered = records.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.lit(n)))
+    scattered = salted(records, bucket_rows).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "__salt"), F.lit(n))).drop("__salt")
     offsets = bucket_offsets(scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
     names = records.columns
     keys = ["doc_id", "text_crc32", *(c for c in names if c not in ("doc_id", "text_crc32"))]

@@ -333,6 +333,19 @@ def test_shards_are_written(spark, tmp_path):
     assert back.count() == 200 and set(docs.columns) <= set(back.columns)
 
 
+def test_shards_of_a_hot_row(spark, monkeypatch):
+    """A third of all rows are one row, without an id: no bucket holds them all, and the law holds."""
+    seen = []
+    monkeypatch.setattr(sharding, "bucket_offsets", lambda b, own=sharding.bucket_offsets: seen.append(b) or own(b))
+    rows = [(None, "same")] * 4_000 + [(7, "same")] * 2_000 + [(k, f"text {k}") for k in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign_shards(docs, 7).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 4_000
+    per = [sorted(r["slot"] for r in got if r["shard"] == k) for k in range(7)]
+    assert all(x == list(range(len(x))) for x in per) and max(map(len, per)) - min(map(len, per)) <= 1
+    assert max(b["n"] for b in seen[0].collect()) < 1_300
+
+
 def mix_by_hand(rows):
     """rows: (doc_id, source, size, key)."""
     sizes: dict = {}
@@ -378,6 +391,17 @@ def test_mixing_by_hand(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_mixing_without_ids(spark):
+    rows = [(None, f"{'w ' * (k % 9 + 1)}{k}", "a") for k in range(400)] + [(None, None, None), (None, "x", None)] + [(3, "b c", "b")] * 50 + [(k, "b c d", "b") for k in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("key", F.lit(1)).withColumn("target", F.lit("x"))
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got)
+    for s in ("a", "b"):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 110  # 50 rows of one id are taken alike
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
 def test_pipeline_by_hand(spark, small):
     """Each stage against what it should do to its own input; the last one against the library."""
     docs = common.documents(spark, small)

@@ -304,3 +304,24 @@ def test_licenses_named_without_the_word(spark):
         assert tuple(got[k])[1:7] == licenses_by_hand(t), t
     assert [got[k]["labels"] for k in range(11)] == ["gpl-3", "lgpl-2.1", "apache-2.0", "bsd", "cc-by-nc-4.0", "public-domain", "proprietary", "", "gpl-2", "agpl", "mpl-2.0"]
     assert got[0]["score"] == 0.95 and got[7]["score"] == 0
+
+
+@pytest.mark.parametrize("text, span", [
+    ("Ruf an: plus vier neun drei null eins zwei drei vier fünf sechs sieben, ja", "phone"),
+    ("appelez le plus trois trois un deux trois quatre cinq six sept huit neuf merci", "phone"),
+    ("más tres cuatro nueve uno dos tres cuatro cinco seis siete ocho por favor", "phone"),
+    ("juan punto garcia arroba firma punto es", "email"),
+    ("marie.dupont arobase exemple point fr", "email"),
+    ("hans klammeraffe firma punkt de", "email"),
+    ("juan (arroba) firma (punto) es", "email"),
+    ("hans [ät] firma [punkt] de", "email"),
+    ("the address is jane at firm dot zz", "email"),
+])
+def test_disguises_of_other_languages(text, span):
+    found = pii.disguised(text, pii.detect(text))
+    assert [k for k, _, _ in found] == [span], found
+
+
+@pytest.mark.parametrize("text", ["un deux trois", "we met at noon dot of course", "Der Punkt ist klar", "at this point in time", "el punto es que dos tres veces", "Null Punkte, eins zu zwei"])
+def test_words_that_are_no_disguise(text):
+    assert pii.disguised(text, pii.detect(text)) == []
