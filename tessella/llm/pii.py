@@ -71,7 +71,17 @@ ENDINGS = tuple(
 )
 NO_ENDINGS = ("an", "go", "he", "if", "of", "on", "or", "up", "we")
 
-NUMBER = "(?:" + "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w))) + ")"
+
+
+def any_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words, longer ones first, tried by their first letter."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(words, key=lambda w: (-len(w), w)):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    return f"(?=[{''.join(by_letter)}])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")"
+
+
+NUMBER = any_of(DIGIT_WORDS)
 SPELLED = re.compile(rf"\b(?:(?:{'|'.join(PLUS)})[\s,-]+)?(?:(?:double|triple)\s+)?{NUMBER}\b(?:[\s,.()-]{{1,3}}(?:(?:{'|'.join(POINT)})\s+)?(?:(?:double|triple)\s+)?(?:{NUMBER}\b|[0-9]+\b)){{3,}}", re.I)
 SPELLED_PART = re.compile(rf"(?:{'|'.join(PLUS)}|double|triple|{'|'.join(POINT)}|{NUMBER})\b|[0-9]+", re.I)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
