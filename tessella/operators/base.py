@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from tessella.formula import compile_formula
+from tessella.formula.syntax import Node
 from tessella.relation import Cell, Relation
 from tessella.types import StepError
 
@@ -30,7 +31,7 @@ class Context:
     def natural(self) -> bool:
         return self.collation == "natural"
 
-    def formula(self, source: str, relation: Relation) -> Cell:
+    def formula(self, source: str | Node, relation: Relation) -> Cell:
         return compile_formula(source, relation, self.params)
 
 

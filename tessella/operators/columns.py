@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import functions as F
 
-from tessella.formula import quote_column, quote_text
+from tessella.formula.syntax import Node
 from tessella.functions.casts import cast_cell, text_of, trim
 from tessella.operators.base import step
 from tessella.relation import ORDER, Cell, nested
@@ -183,34 +184,44 @@ def merge_columns(r, s, c):
     return r.build(cells)
 
 
-def builder_formula(b) -> str:
-    """The formula of a filter that was put together from conditions."""
-    def lit(x, numeric=True):
-        if x in ("", None):
-            return "null"
-        number = re.fullmatch(r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*", str(x), re.A)
-        if number and numeric is not False and abs(n := float(x)) < float("inf"):
-            return str(int(n)) if n.is_integer() else repr(n)
-        return f'Date.From("{x}")' if re.fullmatch(r"\d{4}-\d{2}-\d{2}", str(x)) else quote_text(str(x))
-
-    parts = []
-    for cond in (b or {}).get("conds", []):
-        col, v, op = quote_column(cond["col"]), cond.get("value", ""), cond["op"]
-        signs = {"eq": "=", "ne": "<>", "gt": ">", "ge": ">=", "lt": "<", "le": "<="}
-        tests = {"contains": "Text.Contains", "not_contains": "not Text.Contains", "starts": "Text.StartsWith", "ends": "Text.EndsWith"}
-        listed = lambda: ", ".join(quote_text(x) if isinstance(x, str) else "true" if x is True else "false" if x is False else "null" if x is None else repr(x) for x in cond.get("values", []))  # noqa: B023, E731
-        if op in signs:
-            parts.append(f"{col} {signs[op]} {lit(v, cond.get('numeric'))}")
-        elif op in tests:
-            parts.append(f"{tests[op]}(Text.From({col}), {quote_text(str(v))})")
-        elif op == "null":
-            parts.append(f"{col} = null")
-        elif op == "not_null":
-            parts.append(f"{col} <> null")
-        elif op == "in":
-            parts.append(f"{col} in {{{listed()}}}")
-        elif op == "not_in":
-            parts.append(f"not ({col} in {{{listed()}}})")
-        else:
-            parts.append("true")
-    return (" or " if (b or {}).get("join") == "or" else " and ").join(parts) or "true"
+def _tree(kind, value=None, *args):
+    return Node(kind, 0, 0, value, list(args))
+
+
+def _typed(x, numeric):
+    """What a user typed into a condition, as a number, date or text."""
+    if x in ("", None):
+        return _tree("literal")
+    text = str(x)
+    if numeric is not False and re.fullmatch(NUMERAL_TYPED, text, re.A) and abs(n := float(text)) < float("inf"):
+        return _tree("literal", int(n) if n.is_integer() else n)
+    return _tree("call", "Date.From", _tree("literal", text)) if re.fullmatch(r"\d{4}-\d{2}-\d{2}", text) else _tree("literal", text)
+
+
+NUMERAL_TYPED = r"\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*"
+#: The conditions of the filter builder: comparisons, and tests of a text.
+COMPARISONS = {"eq": "=", "ne": "<>", "gt": ">", "ge": ">=", "lt": "<", "le": "<="}
+TEXT_TESTS = {"contains": "Text.Contains", "not_contains": "Text.Contains", "starts": "Text.StartsWith", "ends": "Text.EndsWith"}
+
+
+def _condition(cond):
+    op, column = cond["op"], _tree("column", cond["col"])
+    if op in COMPARISONS:
+        return _tree("binary", COMPARISONS[op], column, _typed(cond.get("value", ""), cond.get("numeric")))
+    if op in TEXT_TESTS:
+        test = _tree("call", TEXT_TESTS[op], _tree("call", "Text.From", column), _tree("literal", str(cond.get("value", ""))))
+    elif op in ("null", "not_null"):
+        return _tree("binary", "=" if op == "null" else "<>", column, _tree("literal"))
+    elif op in ("in", "not_in"):
+        test = _tree("binary", "in", column, _tree("list", None, *(_tree("literal", x) for x in cond.get("values", []))))
+    else:
+        return None
+    return _tree("unary", "not", test) if op.startswith("not_") else test
+
+
+def builder_tree(b):
+    """The tree of a filter that was put together from conditions, or None if all rows pass."""
+    conditions = [_condition(x) for x in (b or {}).get("conds", [])]
+    by = "or" if (b or {}).get("join") == "or" else "and"
+    conditions = [_tree("literal", True) if x is None else x for x in conditions]
+    return functools.reduce(lambda x, y: _tree("binary", by, x, y), conditions) if conditions else None

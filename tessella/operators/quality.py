@@ -14,18 +14,24 @@ from tessella.types import StepError, unique_name
 TOP, BINS, DISTINCT = 12, 20, 1_000
 
 
+#: What a failed check of a column says; {a} and {b} are the rule's arguments, or what stands for none.
+LABELS = {
+    "not_null": "{col} is empty",
+    "unique": "{col} is duplicated",
+    "regex": "{col} does not match {a}",
+    "range": "{col} outside {a}…{b}",
+    "in": "{col} not in allowed list",
+    "length": "{col} length outside {a}–{b}",
+    "type": "{col} has a conversion error",
+}
+NO_LIMITS = {"range": ("−∞", "∞"), "length": ("0", "∞"), "regex": (None, None)}
+
+
 def _label(rule) -> str:
-    col, a, b = rule["col"], rule.get("arg"), rule.get("arg2")
-    given = lambda x, other: other if x in ("", None) else x
-    return {
-        "not_null": f"{col} is empty",
-        "unique": f"{col} is duplicated",
-        "regex": f"{col} does not match {a}",
-        "range": f"{col} outside {given(a, '−∞')}…{given(b, '∞')}",
-        "in": f"{col} not in allowed list",
-        "length": f"{col} length outside {a or 0}–{b or '∞'}",
-        "type": f"{col} has a conversion error",
-    }.get(rule["check"], rule["check"])
+    check, given = rule["check"], (rule.get("arg"), rule.get("arg2"))
+    none = ("", None, 0) if check == "length" else ("", None)
+    a, b = (limit if x in none and check in ("range", "length") else x for x, limit in zip(given, NO_LIMITS.get(check, given), strict=True))
+    return LABELS.get(check, check).format(col=rule["col"], a=a, b=b)
 
 
 def _bound(x, kind):

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tessella import scratch
 from tessella.functions.casts import sort_key, text_of
 from tessella.operators.base import step
-from tessella.operators.columns import builder_formula
+from tessella.operators.columns import builder_tree
 from tessella.operators.joining import append_relations
 from tessella.relation import ORDER, Cell, Relation, nested, ref
 from tessella.types import StepError, unique_names
@@ -18,8 +18,8 @@ from tessella.types import StepError, unique_names
 
 @step("Filter")
 def filter_rows(r, s, c):
-    source = builder_formula(s.get("builder")) if s.get("mode") == "builder" else s.get("formula") or "true"
-    if source.strip() == "true":
+    source = builder_tree(s.get("builder")) if s.get("mode") == "builder" else (s.get("formula") or "true").strip()
+    if source in (None, "true"):
         return r
     cell = c.formula(source, r)
     if cell.type not in ("bool", "any"):

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessella.formula import parse, quote_column, quote_text
-from tessella.operators.columns import builder_formula, conditional_formula
+from tessella.operators.columns import builder_tree, conditional_formula
 from tessella.operators.rows import sample_positions
 from tessella.plans.project import Project
 from tessella.sources.excel import column_letters, column_number
@@ -39,7 +39,13 @@ def test_sampled_places_are_distinct(n, k, seed):
 @given(st.lists(st.tuples(st.sampled_from(["eq", "ne", "gt", "in", "not_in", "contains", "null"]), st.text(max_size=8)), max_size=4), st.sampled_from(["and", "or"]))
 def test_built_filters_parse(conds, join):
     spec = {"join": join, "conds": [{"col": "a]b", "op": op, "value": v, "values": [v, 3, None, True]} for op, v in conds]}
-    assert parse(builder_formula(spec))
+    n = builder_tree(spec)
+    assert (n is None) == (not conds)
+
+    def count(x):
+        return x.kind == "binary" and x.value == join and count(x.args[0]) + 1
+
+    assert not conds or count(n) == len(conds) - 1
 
 
 def test_conditions_nest():
