@@ -14,13 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella import scratch
-from tessella.types import SPARK_TYPES, StepError, closest, logical_type
+from tessella.types import SPARK_NAMES, SPARK_TYPES, StepError, closest, logical_type
 
 ORDER = "__ord"
 ERROR = "__err_"
@@ -32,11 +34,16 @@ _DEALING = ("Join", "Aggregate", "Sort", "Repartition", "Rebalance", "Window", "
 """Plan nodes below which rows may lie elsewhere when the plan runs again."""
 
 
-def ref(name: str) -> Column:
-    """The column of exactly this name."""
+@lru_cache(maxsize=4_096)
+def _column(name: str, gateway: int) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def ref(name: str) -> Column:
+    """The column of exactly this name; made once for each connection to the JVM."""
+    return _column(name, id(SparkContext._gateway))
+
+
 def block_of(order: Column) -> Column:
     """The block of a settled id; rows without an order come first."""
     return F.shiftright(F.coalesce(order, F.lit(0).cast("long")), BLOCK_BITS)
@@ -95,6 +102,8 @@ class Cell:
     value: Column
     type: str
     err: Column | None = None
+    stored: str | None = None
+    """The name of the relation's column that the cell is, if it is one as it stands."""
 
     @property
     def failed(self) -> Column:
@@ -141,18 +150,19 @@ class Relation:
 
     def cell(self, name: str) -> Cell:
         self.need([name])
-        return Cell(ref(name), self.types[name], ref(ERROR + name) if name in self.errors else None)
+        return Cell(ref(name), self.types[name], ref(ERROR + name) if name in self.errors else None, name)
 
     def build(self, cells: Sequence[tuple[str, Cell]], df: DataFrame | None = None, order: Column | None = None) -> Relation:
         """A relation of these columns, over ``df`` or the same rows."""
         df = self.df if df is None else df
         columns, errors = [], set()
         for name, c in cells:
-            columns.append(c.value.cast(SPARK_TYPES[c.type]).alias(name))
+            as_is = c.stored == name
+            columns.append(c.value if as_is else c.value.cast(SPARK_NAMES[c.type]).alias(name))
             if c.err is not None:
-                columns.append(c.err.alias(ERROR + name))
+                columns.append(c.err if as_is else c.err.alias(ERROR + name))
                 errors.add(name)
-        order = (F.col(ORDER) if order is None else order).alias(ORDER)
+        order = ref(ORDER) if order is None else order.alias(ORDER)
         return Relation(df.select(*columns, order), {n: c.type for n, c in cells}, frozenset(errors))
 
     def cells(self, names: Iterable[str] | None = None) -> list[tuple[str, Cell]]:
@@ -164,6 +174,11 @@ class Relation:
 
     def with_cell(self, name: str, cell: Cell, at: int | None = None) -> Relation:
         """Replaces a column in its place, or adds one (at the end, or at a place)."""
+        if (at is None or name in self.types) and (cell.err is not None or name not in self.errors):
+            new = {name: cell.value.cast(SPARK_NAMES[cell.type])}
+            if cell.err is not None:
+                new[ERROR + name] = cell.err
+            return Relation(self.df.withColumns(new), self.types | {name: cell.type}, self.errors | ({name} if cell.err is not None else set()))
         cells = [(n, cell if n == name else c) for n, c in self.cells()]
         if name not in self.types:
             cells.insert(len(cells) if at is None else at, (name, cell))

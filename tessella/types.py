@@ -29,6 +29,8 @@ SPARK_TYPES = {
     "datetime": T.TimestampNTZType(),
 }
 
+SPARK_NAMES = {k: t.simpleString() for k, t in SPARK_TYPES.items()}
+
 
 @dataclass(frozen=True)
 class Locale:
