@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessella.llm import bpe, common, embedding_dup, lines, mixing, near_dup, sharding, toxicity
+from tessella.llm import bpe, common, embedding_dup, lines, mixing, near_dup, rules, sharding, toxicity
 from tessella.llm.components import components
 from tessella.llm.queries import op1_toxicity, op7_quality, tokenizer_path
 
@@ -447,3 +447,31 @@ def test_lines_long_documents_leave_room_for_short_ones(spark):
     assert model.weights is not None
     scores = {r["doc_id"]: r["score"] for r in lines.score_documents(docs, model).collect()}
     assert min(scores[0], scores[1]) > 0.5 > max(scores[2], scores[3])
+
+
+def test_forest_rejects_what_the_rules_let_through(spark, small):
+    """The whole query against scores by recursion; most labelled junk goes, good rows stay."""
+    folder = small.replace("sf0.001", "sf0.01")
+    docs, labels = common.documents(spark, folder), common.labels(spark, folder)
+    model = rules.fit(docs, labels)
+    forest = model.forest
+
+    def path(tree, node, x):
+        f = forest.feature[tree, node]
+        if f < 0:
+            return forest.length[tree, node]
+        return path(tree, (forest.left if x[f] < forest.value[tree, node] else forest.right)[tree, node], x)
+
+    got = {r["doc_id"]: r for r in rules.apply_rules(spark, docs, labels).collect()}
+    texts, quality = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert len(got) == len(texts)
+    trees = len(forest.feature)
+    for i, t in texts.items():
+        base, x = rules.statistics(t)
+        score = 2 ** (-sum(path(k, 0, x) for k in range(trees)) / trees / rules.expected_length(forest.subsample))
+        assert got[i]["base_failed"] == rules.fails(base)
+        assert got[i]["kept"] == (not rules.fails(base) and score < model.threshold), (i, score, model.threshold)
+    passed = [i for i in quality if i in got and not got[i]["base_failed"]]
+    junk, good = [i for i in passed if quality[i] == 0], [i for i in passed if quality[i] == 1]
+    assert junk and sum(not got[i]["kept"] for i in junk) >= 0.8 * len(junk)
+    assert sum(got[i]["kept"] for i in good) >= 0.98 * len(good)
