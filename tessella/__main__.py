@@ -11,6 +11,7 @@ import os
 import sys
 
 from tessella.plans import Engine, Project
+from tessella.plans.project import parameter_value
 from tessella.types import FormulaError, StepError
 
 
@@ -28,20 +29,34 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 
 
 def export_python(project: Project, name: str) -> str:
-    """A script that runs a query with this library."""
-    return "\n".join(
-        [
-            "from pyspark.sql import SparkSession",
-            "from tessella.plans import Engine, Project",
-            "",
-            f"PROJECT = {project.to_json()!r}",
-            "",
-            "spark = SparkSession.builder.getOrCreate()",
-            "engine = Engine(spark, Project.from_json(PROJECT))",
-            f"engine.relation({name!r}).ordered().show()",
-            "",
-        ]
-    )
+    """A script that runs a query and those it needs, a line for each step."""
+    queries = project.order([name])
+    lines = [
+        "import datetime",
+        "",
+        "from pyspark.sql import SparkSession",
+        "from tessella.operators import apply_step",
+        "from tessella.operators.base import Context",
+        "from tessella.plans import Engine, Project",
+        "",
+        "spark = SparkSession.builder.getOrCreate()",
+        "files = {}  # paths of files by their names",
+        "engine, tables = Engine(spark, Project({}), files), {}",
+        f"params = { {n: parameter_value(p) for n, p in project.params.items()}!r}",
+        f"context = Context({project.locale!r}, params, tables.__getitem__, {tuple(queries)!r})",
+    ]
+    for q in queries:
+        lines += ["", f"# {q}"]
+        for s in project.queries[q].steps:
+            source = s.get("source") or s
+            if s["type"] != "Source":
+                lines.append(f"r = apply_step(r, {s!r}, context)")
+            elif source.get("kind") == "query":
+                lines.append(f"r = tables[{source['query']!r}]")
+            else:
+                lines.append(f"r = engine.source({s!r}, 'full')")
+        lines.append(f"tables[{q!r}] = r")
+    return "\n".join([*lines, "", f"tables[{name!r}].ordered().show()", ""])
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -345,3 +345,24 @@ def test_streams(spark, small, tmp_path):
     assert refusal({"type": "Sort", "by": []}) and refusal({"type": "Merge", "how": "full"}) and refusal({"type": "Filter"}) is None
     with pytest.raises(StepError, match="Step 1"):
         apply_stream(stream, [{"type": "FillDown", "cols": ["value"]}])
+
+
+def test_exported_script_gives_the_same_rows(spark, tmp_path):
+    import json
+
+    from tessella.__main__ import export_python
+    from tessella.plans import Engine, Project
+
+    table = {"kind": "blank", "columns": ["k", "v"], "rows": [["a", "1"], ["b", "2"], ["a", "5"]]}
+    queries = [
+        {"name": "base", "steps": [{"type": "Source", "source": table}, {"type": "ChangeType", "changes": [{"col": "v", "type": "int"}]}]},
+        {"name": "big", "steps": [{"type": "Source", "source": {"kind": "query", "query": "base"}}, {"type": "Filter", "formula": "[v] >= @least"}]},
+        {"name": "both", "steps": [{"type": "Source", "source": {"kind": "query", "query": "base"}}, {"type": "Merge", "right": "big", "how": "left", "on": [["v", "v"]], "prefix": "big", "expand": ["k"]}]},
+    ]
+    project = Project.from_json(json.dumps({"queries": queries, "parameters": [{"name": "least", "type": "number", "value": 2}], "params": [{"name": "least", "type": "number", "value": 2}]}))
+    project.params.setdefault("least", {"type": "number", "value": 2})
+    script = export_python(project, "both")
+    assert script.count("apply_step(r, ") == 3
+    space: dict = {}
+    exec(script, space)
+    assert space["tables"]["both"].ordered().collect() == Engine(spark, project).relation("both").ordered().collect()
