@@ -154,6 +154,10 @@ def cluster_values(r, s, c):
     return r.build([(n, Cell(F.coalesce(F.col("__to"), x.value), x.type, x.err) if n == name else x) for n, x in r.cells()], df)
 
 
+JSON_FIELDS = 2_000
+"""Fields that a look at the data may turn into columns."""
+
+
 @step("ExpandJson")
 def expand_json(r, s, c):
     """Objects become columns, arrays become rows. ``fields`` or ``kind`` ("object" or "array") save a look at the data."""
@@ -175,7 +179,9 @@ def expand_json(r, s, c):
     bad = F.when(text.isNotNull() & parsed.isNull(), F.lit("Not valid JSON"))
     if not fields:
         keys = r.df.select(ORDER, F.posexplode(F.json_object_keys(text)).alias("at", "key")).groupBy("key").agg(F.min(F.struct(ORDER, "at")).alias("first"))
-        fields = [x["key"] for x in keys.orderBy("first").limit(2_000).collect()]
+        fields = [x["key"] for x in keys.orderBy("first").limit(JSON_FIELDS + 1).collect()]
+        if len(fields) > JSON_FIELDS:
+            raise StepError(f"Column `{name}` has more than {JSON_FIELDS:,} fields", ["Name the fields to expand"])
     if not fields:
         raise StepError(f"Column `{name}` has no JSON objects to expand")
     keep = [n for n in r.names if n != name]

@@ -265,17 +265,41 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return r.select(columns) if columns else r
 
 
+def _arrow_reader(data):
+    import pyarrow as pa
+
+    return pa.ipc.open_file(data) if bytes(data[:6]) == b"ARROW1" else pa.ipc.open_stream(data)
+
+
 def read_arrow(spark: SparkSession, path: str) -> Relation:
-    """One Arrow IPC or Feather file; it is decoded by the driver."""
+    """Arrow IPC files or streams, also as Feather. The driver reads the schema only; each file is decoded by a task.
+
+    Files of the first Feather version, and types that Spark has no like of, are
+    decoded by the driver.
+    """
     import pyarrow as pa
     import pyarrow.feather as feather
+    from pyspark.errors import PySparkException
+    from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-    data = all_bytes(spark, path)
+    head = head_bytes(spark, path, 1 << 20)
     try:
-        table = feather.read_table(pa.BufferReader(data))
-    except pa.ArrowInvalid:
-        table = pa.ipc.open_stream(pa.BufferReader(data)).read_all()
-    return Relation.of(spark.createDataFrame(table))
+        # a file is a stream between marks; its schema comes first
+        schema = from_arrow_schema(pa.ipc.open_stream(head[8:] if head[:6] == b"ARROW1" else head).schema, prefer_timestamp_ntz=True)
+        target = to_arrow_schema(schema)
+    except (pa.ArrowInvalid, PySparkException):
+        return Relation.of(spark.createDataFrame(feather.read_table(pa.BufferReader(all_bytes(spark, path)))))
+
+    def decode(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                reader = _arrow_reader(content.as_buffer())
+                found = reader if isinstance(reader, pa.RecordBatchStreamReader) else (reader.get_batch(k) for k in range(reader.num_record_batches))
+                for part in found:
+                    yield from pa.Table.from_batches([part]).cast(target).to_batches()
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return Relation.of(files.mapInArrow(decode, schema))
 
 
 def read_rows(spark: SparkSession, columns: Sequence[str], rows: Iterable[Sequence[Any]]) -> Relation:

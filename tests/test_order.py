@@ -158,3 +158,36 @@ def test_folder_of_many_files(spark, tmp_path):
     assert [x["a"] for x in rows] == [v for k in range(131) for v in (str(k), str(k + 1000))] + ["131"]
     assert [x["Source.Name"] for x in rows] == [f"f+{k:03d} x.csv" for k in range(131) for _ in (0, 1)] + ["f+131 x.csv"]
     assert rows[-1]["b"] == "two\nlines" and sum(x["c"] == "z" for x in rows) == 3
+
+
+@pytest.mark.parametrize("form", ["file", "stream", "feather1", "dictionary"])
+def test_arrow_forms(spark, tmp_path, form):
+    import datetime as dt
+
+    import pyarrow as pa
+    import pyarrow.feather as feather
+
+    from tessella.sources.files import read_arrow
+
+    table = pa.table({"id": list(range(5_000)), "name": [None, "é"] * 2_500, "x": [1.5] * 5_000, "at": [dt.datetime(2020, 1, 2, 3)] * 5_000, "n": pa.array([1] * 5_000, pa.int16())})
+    path = str(tmp_path / "t.arrow")
+    if form == "feather1":
+        table = table.drop(["at"])
+        feather.write_feather(table, path, version=1)
+    else:
+        if form == "dictionary":
+            table = table.set_column(1, "name", table["name"].dictionary_encode())
+        with pa.OSFile(path, "wb") as f, (pa.ipc.new_stream if form == "stream" else pa.ipc.new_file)(f, table.schema) as out:
+            out.write_table(table, max_chunksize=700)
+    r = read_arrow(spark, path)
+    got = r.ordered().collect()
+    assert [x["id"] for x in got] == list(range(5_000)) and got[1]["name"] == "é" and got[0]["name"] is None
+    assert r.types["n"] == "int" and (form == "feather1" or got[0]["at"] == dt.datetime(2020, 1, 2, 3))
+
+
+def test_too_many_json_fields(spark):
+    import json
+
+    r = read_rows(spark, ["j"], [[json.dumps({f"k{k}": 1 for k in range(2_001)})]])
+    with pytest.raises(StepError, match="more than 2,000 fields"):
+        apply_step(r, {"type": "ExpandJson", "col": "j"})
