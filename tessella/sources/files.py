@@ -37,12 +37,12 @@ def file_kind(path: str) -> str:
 
 
 def head_bytes(spark: SparkSession, path: str, n: int = SNIFF_BYTES) -> bytes:
-    """The first bytes of a file, by Spark's file systems."""
+    """The first bytes of a file, or of a folder's first file that isn't empty, by Spark's file systems."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.getFileStatus(p).isDirectory():
-        inside = [f.getPath() for f in fs.listStatus(p) if f.isFile() and not re.match(r"[._]", f.getPath().getName())]
+        inside = [f.getPath() for f in fs.listStatus(p) if f.isFile() and f.getLen() and not re.match(r"[._]", f.getPath().getName())]
         if not inside:
             return b""
         p = sorted(inside, key=lambda x: x.getName())[0]
@@ -228,7 +228,11 @@ def _read_csv_exact(spark, path, delimiter, header, encoding, skip) -> Relation:
 
 def read_json(spark: SparkSession, path: str) -> Relation:
     """An array of objects, an object with one, or one object a line. Nested values become JSON text."""
-    head = head_bytes(spark, path).decode("utf-8", "replace").lstrip("﻿ \t\r\n")
+    data = head_bytes(spark, path)
+    head = data.decode("utf-8", "replace").lstrip("﻿ \t\r\n")
+    if head.startswith("{") and "\n" not in head and len(data) >= SNIFF_BYTES:  # the first line is longer than the look at it
+        found = spark.read.text(path).where(F.trim("value") != "").select(F.json_object_keys("value").isNotNull().alias("whole")).take(2)
+        head += "}" if len(found) > 1 and found[0]["whole"] else ""
     lines = head.startswith("{") and bool(re.match(r"\{.*\}\s*(\n\s*\{|$)", head.split("\n", 1)[0] + "\n" + (head.split("\n", 1)[1] if "\n" in head else "")))
     multi = not lines
     df = spark.read.option("multiLine", multi).json(path)

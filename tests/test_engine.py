@@ -290,6 +290,18 @@ def test_round_trips(spark, people, tmp_path):
     assert parse_range("'My Sheet'!$B$3:H") == ("My Sheet", 3, None, 2, 8)
 
 
+def test_json_lines_are_told_by_a_line_of_data(spark, tmp_path):
+    # the first part of what Spark writes is empty where the first task has no row
+    spark.range(0, 100, 1, 4).where("id > 60").write.json(str(tmp_path / "parts.json"))
+    assert min(p.stat().st_size for p in (tmp_path / "parts.json").glob("part-00000*")) == 0
+    assert sorted(rows(read_file(spark, str(tmp_path / "parts.json")))) == [(k,) for k in range(61, 100)]
+    long = {"q": "x" * 70_000}
+    (tmp_path / "long.ndjson").write_text(f"{json.dumps(long)}\n" * 3, encoding="utf-8")
+    assert [len(q) for (q,) in rows(read_file(spark, str(tmp_path / "long.ndjson")))] == [70_000] * 3
+    (tmp_path / "one.json").write_text(json.dumps({"items": [long, long]}), encoding="utf-8")
+    assert [len(q) for (q,) in rows(read_file(spark, str(tmp_path / "one.json")))] == [70_000] * 2
+
+
 def test_project(spark, tmp_path):
     (tmp_path / "t.csv").write_text("k,v\n1,10\n2,x\n3,30\n", encoding="utf-8")
     text = json.dumps({"format_version": 1, "params": [{"name": "low", "type": "number", "value": 15}], "queries": [
