@@ -17,7 +17,9 @@ from tessella.types import StepError
 
 def _fill(r, cols, down: bool):
     """The nearest value before (or after) in row order. Rows are dealt with in blocks of the
-    scan's ids: a block gets the last value of all earlier blocks, so no task sees all rows."""
+    scan's ids: a block gets the last value of all earlier blocks, so no task sees all rows.
+
+    Filling up runs backwards: a frame that ends at the last row is read anew for every row."""
     r.need(cols)
     r = r.settled()
     df = r.df.withColumn("__block", block_of(F.col(ORDER)))
@@ -25,15 +27,12 @@ def _fill(r, cols, down: bool):
     pair = {n: F.when(x.value.isNotNull() | x.failed, F.struct(x.value.alias("v"), (F.lit(None).cast("string") if x.err is None else x.err).alias("e"))) for n, x in cells.items()}
     pick = F.max_by if down else F.min_by
     ends = df.groupBy("__block").agg(*(pick(F.when(p.isNotNull(), p), F.when(p.isNotNull(), F.col(ORDER))).alias(f"__end{k}") for k, p in enumerate(pair.values())))
-    if down:
-        over, edge = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1), F.last
-        within = Window.partitionBy("__block").orderBy(ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        over, edge = Window.orderBy("__block").rowsBetween(1, Window.unboundedFollowing), F.first
-        within = Window.partitionBy("__block").orderBy(ORDER).rowsBetween(0, Window.unboundedFollowing)
-    carried = ends.select("__block", *(edge(f"__end{k}", True).over(over).alias(f"__carry{k}") for k in range(len(pair))))
+    key = (lambda c: F.col(c).asc()) if down else (lambda c: F.col(c).desc())
+    over = Window.orderBy(key("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__block").orderBy(key(ORDER)).rowsBetween(Window.unboundedPreceding, 0)
+    carried = ends.select("__block", *(F.last(f"__end{k}", True).over(over).alias(f"__carry{k}") for k in range(len(pair))))
     df = df.join(carried, "__block", "left")
-    df = df.select("*", *(F.coalesce(edge(p, True).over(within), F.col(f"__carry{k}")).alias(f"__fill{k}") for k, p in enumerate(pair.values())))
+    df = df.select("*", *(F.coalesce(F.last(p, True).over(within), F.col(f"__carry{k}")).alias(f"__fill{k}") for k, p in enumerate(pair.values())))
     at = {n: k for k, n in enumerate(pair)}
     return r.build([(n, Cell(F.col(f"__fill{at[n]}.v"), x.type, None if x.err is None else F.col(f"__fill{at[n]}.e")) if n in at else x) for n, x in r.cells()], df)
 

@@ -68,6 +68,17 @@ def test_fill_and_running_values(wide):
     assert summed == {i: w[1] for i, w in want.items()}
 
 
+def test_fill_up_is_linear(wide):
+    """A frame up to the last row would be read anew for every row of a block."""
+    following, want = None, {}
+    for x in reversed(ordered(wide.output().collect())):
+        following = x["v"] if x["v"] is not None else following
+        want[x["id"]] = following
+    out = steps(wide, SORT, {"type": "FillUp", "cols": ["v"]}).output()
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+    assert {x["id"]: x["v"] for x in out.collect()} == want and None in want.values()
+
+
 @pytest.mark.parametrize("keep", [{"mode": "alternate", "keep": 1, "skip": 2}, {"mode": "range", "offset": 10_000, "n": 500}, {"mode": "remove_bottom", "n": 59_000}, {"mode": "bottom", "n": 7}])
 def test_rows_by_place(wide, keep):
     rows = [x["id"] for x in ordered(wide.output().collect())]
