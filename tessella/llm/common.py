@@ -7,21 +7,20 @@ import contextlib
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 """Fixed pattern: a word is a run of characters that are not ASCII white space."""
 
 ROWS_AT_ONCE = 256
 """Rows of an Arrow batch that are turned into Python objects together."""
 
-_shipped: set[str] = set()
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -36,16 +35,7 @@ def ship(spark: SparkSession) -> None:
     """
     if spark.conf.get(BATCH_ROWS, None) is None:
         spark.conf.set(BATCH_ROWS, "1024")
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"{root.name}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
+    scratch.ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

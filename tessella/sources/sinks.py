@@ -11,8 +11,6 @@ from tessella.functions.casts import text_of
 from tessella.relation import Relation
 from tessella.types import StepError
 
-EXCEL_ROWS = 1_048_575
-
 
 def export_columns(r: Relation):
     """Every column as text for delimited files: errors as #ERROR, TRUE and FALSE, ISO dates."""
@@ -58,7 +56,4 @@ def _write_xlsx(r: Relation, path: str) -> None:
     from tessella.sources.excel import write_excel
 
     columns = [F.when(x.failed, F.lit("#ERROR")).otherwise(x.value) if x.type in ("text", "any") else x.value for _, x in r.cells()]
-    rows = r.df.select(*(c.alias(f"c{k}") for k, c in enumerate(columns))).limit(EXCEL_ROWS + 1).collect()
-    if len(rows) > EXCEL_ROWS:
-        raise StepError(f"A sheet has at most {EXCEL_ROWS:,} rows")
-    write_excel(path, r.names, r.types, map(tuple, rows))
+    write_excel(path, r.names, r.df.select(*(c.alias(f"c{k}") for k, c in enumerate(columns))))

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tessella.operators import Context, apply_step
 from tessella.operators.rows import sample_positions
 from tessella.plans import Engine, Project, Query
 from tessella.relation import Cell, Relation
-from tessella.sources import read_file, read_folder, read_rows, write
+from tessella.sources import excel, read_file, read_folder, read_rows, write
 from tessella.sources.excel import parse_range
 from tessella.sources.files import detect_encoding, infer_type, sniff_csv
 from tessella.streaming import apply_stream, refusal, windowed_counts
@@ -302,6 +303,30 @@ def test_json_lines_are_told_by_a_line_of_data(spark, tmp_path):
     assert [len(q) for (q,) in rows(read_file(spark, str(tmp_path / "one.json")))] == [70_000] * 2
 
 
+def test_spreadsheets_are_read_and_written_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(excel.Workbook, "__init__", None)  # the driver's; tasks import their own
+    n = 2_500
+    df = spark.range(n, 0, -1, 5).select("id", F.concat(F.lit("<t> & é "), "id").alias("t"), F.when(F.col("id") % 2 == 0, F.col("id") / 4).alias("x"), (F.col("id") > 9).alias("b"))
+    write(run(Relation.of(df), {"type": "Sort", "by": [{"col": "id"}]}), str(tmp_path / "n.xlsx"), "xlsx")
+    back = read_file(spark, str(tmp_path / "n.xlsx"), {"item": {"range": "A2:D9999"}})
+    assert back.types == {"Column1": "int", "Column2": "text", "Column3": "number", "Column4": "bool"}
+    assert rows(back) == [(k, f"<t> & é {k}", k / 4 if k % 2 == 0 else None, k > 9) for k in range(1, n + 1)]
+    # blank rows, an error, mixed kinds; then rows out of order
+    row = lambda at, *cells: f'<row r="{at}">{"".join(cells)}</row>'
+    cells = [row(2, '<c r="A2" t="e"><v>#N/A</v></c>', '<c r="C2"><v>1.5</v></c>'), row(5, '<c r="A5"><v>7</v></c>', '<c r="B5" t="b"><v>1</v></c>'), row(6, '<c r="B6" t="str"><v>z</v></c>')]
+    with zipfile.ZipFile(tmp_path / "n.xlsx") as z:
+        parts = {x: z.read(x) for x in z.namelist()}
+    for k, body in enumerate((cells, cells[::-1])):
+        parts["xl/worksheets/sheet1.xml"] = f'<worksheet xmlns="{excel.NS["m"]}"><sheetData>{"".join(body)}</sheetData></worksheet>'.encode()
+        with zipfile.ZipFile(tmp_path / f"odd{k}.xlsx", "w") as z:
+            for name, data in parts.items():
+                z.writestr(name, data)
+        odd = read_file(spark, str(tmp_path / f"odd{k}.xlsx"))
+        assert list(odd.types.values()) == ["int", "any", "number"] and odd.errors == {"Column1"}
+        assert rows(odd) == [(None,) * 3, (None, None, 1.5), (None,) * 3, (None,) * 3, (7, "true", None), (None, "z", None)]
+    assert len(rows(read_file(spark, str(tmp_path / "odd1.xlsx"), {"fillMerged": True}))) == 6
+
+
 def test_project(spark, tmp_path):
     (tmp_path / "t.csv").write_text("k,v\n1,10\n2,x\n3,30\n", encoding="utf-8")
     text = json.dumps({"format_version": 1, "params": [{"name": "low", "type": "number", "value": 15}], "queries": [
