@@ -13,12 +13,11 @@ union-find, only buckets that still hold several components go on; there, the se
 different components are compared: by signature, then, where those look near enough
 and the components are still apart, exactly, and in the bucket of the first band that
 the pair shares only. Of a bucket's links a forest is returned. A bucket is cut into
-tiles of a bounded number of shingles, each pair of tiles being a group of its own;
-one of more than SPLIT_TILES tiles is cut by its classes' other bands before, which
-leaves together what shares two bands. The smallest document id names the component.
+tiles of a bounded number of shingles, each pair of tiles being a group of its own,
+whatever the bucket's size: a pair that shares but one band is compared there. The
+smallest document id names the component.
 
-With 40 bands of 4, a pair of similarity 0.75 shares fewer than two bands with
-probability 5e-6, and none with 3e-7. Estimates from 160 slots are within 0.035, and
+With 40 bands of 4, a pair of similarity 0.75 shares none with probability 3e-7. Estimates from 160 slots are within 0.035, and
 pairs are dropped by estimate only from 0.16 below the threshold.
 
 Defined cases: null or wordless texts have an empty set and are linked with nothing;
@@ -46,7 +45,7 @@ SLACK = 0.16
 TILE = 1 << 17
 """Shingles that a tile of a bucket holds; a task compares two tiles at a time."""
 SPLIT_TILES = 16
-"""Buckets of more tiles are first split by other bands; below, copying a row to so many tiles costs less."""
+"""Without effect: buckets of any size are compared alike. Tests still set it."""
 MEMBERS = 1_024
 """Classes that are compared with their bucket's smallest one together."""
 
@@ -226,7 +225,7 @@ def _across(batches):
     the group holds one tile, whose rows are compared with each other.
     """
     least = SHARE[0] / SHARE[1] - SLACK
-    for (h, h2, i, j), rows in _groups(batches, 4):
+    for (h, i, j), rows in _groups(batches, 3):
         rows.sort(key=lambda r: (r[2], r[1]))
         tile, ids, comp, n, sig, found = zip(*rows, strict=True)
         tile, comp, n = np.array(tile), np.array(comp), np.array(n)
@@ -255,9 +254,6 @@ def _across(batches):
             shared = bands[rest] == bands[k]
             own = bands[k].view(np.int64)
             mine = own[shared.argmax(axis=1)] == h
-            if h2 != h:  # and the second shared band is this group's
-                second = shared.cumsum(axis=1) == 2
-                mine &= second.any(axis=1) & (own[second.argmax(axis=1)] == h2)
             a = np.frombuffer(found[k], np.uint64)
             for other in rest[mine].tolist():
                 x, y = root(int(comp[k])), root(int(comp[other]))
@@ -267,37 +263,16 @@ def _across(batches):
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
-def _split(batches):
-    """A row for each later band of a class in a large bucket."""
-    for batch in common.slices(batches, 1024):
-        h = batch.column(0).to_numpy()
-        other = band_hashes(_matrix(batch.column(4))).view(np.int64)
-        at = (other == h[:, None]).argmax(axis=1)
-        row, band = np.nonzero(np.arange(BANDS)[None, :] > at[:, None])
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(other[row, band]), *(batch.column(k).take(take) for k in (1, 2, 3, 4))], ["h", "h2", "id", "comp", "n", "sig"])
-
-
-def _mixed(rows: DataFrame, *keys: str) -> DataFrame:
-    """The groups that hold several components, with the tiles they are cut into."""
-    sizes = rows.groupBy(*keys).agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.sum("n") / TILE).alias("tiles"))
-    return sizes.where("x < y").select(*keys, "tiles")
-
-
 def links_across(rows: DataFrame, sigs: DataFrame, found: DataFrame) -> DataFrame:
     """Links between different components of buckets. ``rows``: ``h, id, comp, n``; ``sigs``: ``id, sig``."""
-    sizes = common.materialize(_mixed(rows, "h"))
-    rest = rows.join(sizes, "h").join(sigs, "id").select("h", "id", "comp", "n", "sig", "tiles")
-    dealt = rest.where(f"tiles <= {SPLIT_TILES}").withColumn("h2", F.col("h"))
-    if not sizes.where(f"tiles > {SPLIT_TILES}").isEmpty():
-        large = rest.where(f"tiles > {SPLIT_TILES}").select("h", "id", "comp", "n", "sig")
-        large = common.materialize(large.mapInArrow(_split, "h long, h2 long, id long, comp long, n long, sig binary"))
-        dealt = dealt.unionByName(large.join(_mixed(large, "h", "h2"), ["h", "h2"]))
-    own = F.pmod(F.xxhash64("id"), "tiles")
-    dealt = dealt.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    # the buckets that hold several components, with the tiles they are cut into
+    sizes = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.sum("n") / TILE).alias("tiles"))
+    sizes = common.materialize(sizes.where("x < y").select("h", "tiles"))
+    dealt = rows.join(sizes, "h").join(sigs, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     dealt = dealt.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    dealt = dealt.join(found, "id").select("h", "h2", "i", "j", "tile", "id", "comp", "n", "sig", "shingles")
-    return dealt.repartition("h", "h2", "i", "j").sortWithinPartitions("h", "h2", "i", "j").mapInArrow(_across, "a long, b long")
+    dealt = dealt.join(found, "id").select("h", "i", "j", "tile", "id", "comp", "n", "sig", "shingles")
+    return dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_across, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -104,6 +104,19 @@ def test_near_duplicates_by_hand(spark, tile, split, members, monkeypatch):
     assert len(got) == len(texts)
 
 
+@pytest.mark.parametrize("tile", [near_dup.TILE, 5])
+def test_one_shared_band_is_enough_in_buckets_of_any_size(spark, tile, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE", tile)
+    common.ship(spark)
+    sigs = np.tile(np.arange(near_dup.SLOTS, dtype=np.uint16), (2, 1))
+    sigs[1, 4::4] += 1_000  # the second band on, each differs in a slot
+    [h] = set(near_dup.band_hashes(sigs)[0].view(np.int64).tolist()) & set(near_dup.band_hashes(sigs)[1].view(np.int64).tolist())
+    found = [np.arange(k, 100 + k, dtype=np.uint64).tobytes() for k in range(2)]
+    rows = spark.createDataFrame([(h, k, k, 100) for k in range(2)], "h long, id long, comp long, n long")
+    frames = [spark.createDataFrame([(k, bytearray(x[k])) for k in range(2)], f"id long, {name} binary") for name, x in (("sig", [s.tobytes() for s in sigs]), ("shingles", found))]
+    assert [tuple(r) for r in near_dup.links_across(rows, *frames).collect()] in ([(0, 1)], [(1, 0)])
+
+
 def test_near_duplicates_with_odd_ids(spark):
     a, b, c = ("one two three four five six seven eight", "nine ten eleven twelve a b c d e f", "g h i j k l m n")
     rows = [(5, a), (2, a), (2, a), (7, b), (7, c), (3, b), (9, c), (None, a), (None, None), (11, None)]
