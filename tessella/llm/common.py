@@ -103,6 +103,17 @@ def slices(batches: Iterator, rows: int = ROWS_AT_ONCE) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def usable_labels(labels_df: DataFrame, column: str, keep: Column) -> DataFrame:
+    """``doc_id, y`` of all ids whose labels are 0 or 1 and don't contradict each other."""
+    return (
+        labels_df.where(keep & F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
+        .groupBy("doc_id")
+        .agg(F.min(column).cast("int").alias("y"), F.max(column).cast("int").alias("top"))
+        .where("y = top")
+        .select("doc_id", "y")
+    )
+
+
 def labelled_sample(labels_df: DataFrame, column: str, keep: Column, per_class: int) -> tuple[DataFrame, list[int]]:
     """A bounded sample of usable labels: ``doc_id, y`` with at most ``per_class`` rows of each class.
 
@@ -110,13 +121,7 @@ def labelled_sample(labels_df: DataFrame, column: str, keep: Column, per_class:
     The choice depends on a hash of the id only. Also returns the number of usable
     rows of each class.
     """
-    usable = (
-        labels_df.where(keep & F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
-        .groupBy("doc_id")
-        .agg(F.min(column).cast("int").alias("y"), F.max(column).cast("int").alias("top"))
-        .where("y = top")
-        .select("doc_id", "y")
-    )
+    usable = usable_labels(labels_df, column, keep)
     totals = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [
         usable.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(column), "doc_id"), "doc_id").limit(per_class)

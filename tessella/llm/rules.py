@@ -1,10 +1,10 @@
 """Quality rules: rule statistics of a text, judged by an isolation forest.
 
-Base rules reject on fixed limits. Beyond them, a forest of random splits is grown
-on the statistics of a bounded sample (``TREES`` subsamples of ``SUBSAMPLE`` rows
-labelled good; splits are drawn over the range of a sample of all documents), and
-documents that few splits isolate are anomalous. The threshold on the anomaly score
-comes from a bounded sample of labelled rows that pass the base rules.
+Base rules reject on fixed limits. Beyond them, a forest of random splits is grown:
+each of ``TREES`` trees on ``SUBSAMPLE`` rows drawn from all rows labelled good, as the
+method has it. Splits range over the statistics of all documents, and documents that
+few splits isolate are anomalous. The threshold on the anomaly score comes from all
+labelled rows that pass the base rules. Statistics are taken once and written.
 
 Defined cases: a null text has no words, all statistics are 0 and the base rules
 reject it; without usable labels of both classes the threshold is the classical
@@ -23,13 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import common
+from tessella.relation import running_total
 
 TREES = 128
 SUBSAMPLE = 256
-FOREST_ROWS = 8_192
-"""Documents that set the range of the splits."""
-LABELLED_ROWS = 4_096
-"""Labelled documents of each class that set the threshold."""
 KEPT_GOOD = 0.998
 """Share of good labelled documents that the threshold must keep."""
 MIN_WORDS = 50
@@ -119,23 +116,29 @@ def expected_length(n: int) -> float:
 
 
 def grow(x: np.ndarray, around: np.ndarray | None = None, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 11) -> Forest:
-    """A forest on subsamples of ``x``.
+    """A forest on subsamples of ``x``; splits reach as far as the rows of ``around``."""
+    rng = np.random.default_rng(seed)
+    every = x if around is None else np.vstack([x, around])
+    subsample = min(subsample, len(x))
+    return grow_on([x[rng.choice(len(x), subsample, replace=False)] for _ in range(trees)], every.min(axis=0), every.max(axis=0), seed)
+
 
-    Split values are drawn between a node's least and greatest value, as far as the
-    rows of ``around`` reach on the outer sides of the tree: a split may then leave
-    one side without rows of ``x``, and what falls there is isolated at once.
+def grow_on(samples: list[np.ndarray], low: np.ndarray, high: np.ndarray, seed: int = 11) -> Forest:
+    """A tree on each of the samples, which are of one size.
+
+    Split values are drawn between a node's least and greatest value, as far as
+    ``low`` and ``high`` reach on the outer sides of the tree: a split may then leave
+    one side without rows, and what falls there is isolated at once.
     """
     rng = np.random.default_rng(seed)
-    around = x if around is None else around
-    outer = np.minimum(around.min(axis=0), x.min(axis=0)), np.maximum(around.max(axis=0), x.max(axis=0))
-    subsample = min(subsample, len(x))
+    outer, trees, subsample = (low, high), len(samples), len(samples[0])
     limit = max(1, math.ceil(math.log2(max(subsample, 2))))
     width = 2 ** (limit + 1)
     feature = np.full((trees, width), -1, np.int64)
     value, length = np.zeros((trees, width)), np.zeros((trees, width))
     left, right = np.zeros((trees, width), np.int64), np.zeros((trees, width), np.int64)
     for t in range(trees):
-        open_nodes, used = [(0, x[rng.choice(len(x), subsample, replace=False)], 0, *outer)], 1
+        open_nodes, used = [(0, samples[t], 0, *outer)], 1
         while open_nodes:
             node, rows, depth, low, high = open_nodes.pop()
             spread = np.flatnonzero(high > low)
@@ -154,37 +157,40 @@ def grow(x: np.ndarray, around: np.ndarray | None = None, trees: int = TREES, su
     return Forest(feature, value, left, right, length, subsample)
 
 
-def threshold(good: np.ndarray, bad: np.ndarray, kept_good: float = KEPT_GOOD) -> float:
-    """The score from which rows are rejected.
+def threshold(scores: DataFrame, good: int, bad: int, kept_good: float = KEPT_GOOD) -> float:
+    """The score from which rows are rejected, by ``y, s`` of all labelled rows, so many of each class.
 
     Among cuts that keep ``kept_good`` of the good rows, the one with the best
-    balanced accuracy; in a tie the middle of the gap.
+    balanced accuracy; in a tie the middle of the gap. Sums before each score are
+    taken by ranges, and in whole numbers.
     """
-    if not len(good) or not len(bad):
+    if not good or not bad:
         return 0.6
-    floor = np.quantile(good, kept_good, method="higher")
-    cuts = np.unique(np.concatenate([good, bad]))
-    cuts = np.append(cuts[cuts > floor], cuts[-1] + 1e-9)
-    caught = np.array([(bad >= c).mean() + (good < c).mean() for c in cuts])
-    best = cuts[int(caught.argmax())]
-    under = np.concatenate([good, bad])
-    under = under[under < best]
-    return float((best + under.max()) / 2) if len(under) else float(best)
-
-
-def _features_of(docs: DataFrame, more: list[str]) -> DataFrame:
-    """``more`` columns and the features, as an array, of each text that passes the base rules."""
+    rows = scores.groupBy("s").agg(F.sum("y").alias("g"), F.sum(bad * F.col("y") - good * (1 - F.col("y"))).alias("gain"))
+    rows = running_total(running_total(rows, "g", [F.col("s")], "good_before"), "gain", [F.col("s")], "won")
+    rows = common.materialize(rows)
+    rank = math.ceil(kept_good * (good - 1))
+    floor = rows.where(F.col("good_before") <= rank).where("g > 0").agg(F.max("s")).first()[0]
+    top = rows.agg(F.max("s")).first()[0]
+    cut = rows.where(F.col("s") > floor).orderBy(F.desc("won"), "s").select("s", "won").first()
+    best = cut["s"] if cut is not None and cut["won"] >= 0 else top + 1e-9
+    under = rows.where(F.col("s") < best).agg(F.max("s")).first()[0]
+    return best if under is None else (best + under) / 2
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``doc_id``, the base counts, ``base_failed`` and the features ``x`` of every whole text."""
     common.ship(docs.sparkSession)
 
     def run(batches):
         for batch in common.slices(batches):
-            found = [statistics(t) for t in batch.column(0).to_pylist()]
-            passed = [k for k, (base, _) in enumerate(found) if not fails(base)]
-            x = pa.array([found[k][1] for k in passed], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([x, *(c.take(pa.array(passed, pa.int64())) for c in batch.columns[1:])], ["x", *more])
+            found = [statistics(t) for t in batch.column(1).to_pylist()]
+            base = np.array([b for b, _ in found], np.int64)
+            columns = [batch.column(0), *map(pa.array, base.T), pa.array([fails(b) for b, _ in found]), pa.array([f for _, f in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *BASE, "base_failed", "x"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(F.col("text").cast("string").alias("text"), *more).mapInArrow(run, ", ".join(["x array<double>", *(f"{c} {kinds[c]}" for c in more)]))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -193,44 +199,66 @@ class RuleModel:
     threshold: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, forest_rows: int = FOREST_ROWS, labelled_rows: int = LABELLED_ROWS) -> RuleModel:
-    """Grow the forest on a bounded sample of documents and calibrate on a bounded one of labels.
+def _scored(rows: DataFrame, model: RuleModel, schema: str) -> DataFrame:
+    """``rows`` with the anomaly score of their last column, the features, instead of these."""
+    common.ship(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    Both samples are chosen by a hash of the id; only their statistics reach the driver.
-    """
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64(F.lit("forest"), "doc_id"), "doc_id").limit(forest_rows).withColumn("y", F.lit(-1))
-    sample, _ = common.labelled_sample(labels, "quality", F.lit(True), labelled_rows)
-    chosen = common.materialize(ids.unionByName(sample).groupBy("doc_id").agg(F.max("y").alias("y")))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = _features_of(texts, ["y"]).toArrow()
-    if not rows.num_rows:
+    def run(batches):
+        forest = shared.value.forest
+        for batch in common.slices(batches, 1024):
+            *columns, x = batch.columns
+            s = forest.score(np.array(x.flatten()).reshape(len(x), -1)) if forest and len(x) else np.zeros(len(x))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(s)], [*batch.schema.names[:-1], "s"])
+
+    return rows.mapInArrow(run, f"{schema}, s double")
+
+
+def _subsamples(rows: DataFrame, n: int) -> list[np.ndarray]:
+    """For each tree the rows of the least hashes, out of all. Few others reach the driver."""
+    size, share = min(SUBSAMPLE, n), min(1.0, 2 * SUBSAMPLE / n)
+    dealt = rows.select("x", F.xxhash64("doc_id", "x").alias("h"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t"))
+    dealt = dealt.withColumn("h", F.shiftrightunsigned(F.xxhash64("t", "h"), 1))
+    while True:
+        found: list[list] = [[] for _ in range(TREES)]
+        for r in dealt.where(F.col("h") <= min(2**63 - 1, int(share * 2.0**63))).toLocalIterator():
+            found[r["t"]].append((r["h"], r["x"]))
+        if min(map(len, found)) >= size:
+            return [np.array([x for _, x in sorted(f)[:size]]) for f in found]
+        share = min(1.0, 2 * share)
+
+
+def _fitted(rows: DataFrame, labels: DataFrame) -> RuleModel:
+    passed = rows.where("not base_failed")
+    reach = [f(F.get("x", F.lit(k))).alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in range(len(FEATURES))]
+    [(n, *ends)] = passed.agg(F.count(F.lit(1)), *reach).collect()
+    if not n:
         return RuleModel(None, 0.6)
-    x, y = np.array(rows["x"].to_pylist()), np.array(rows["y"])
-    order = np.lexsort((*x.T, y))  # the rows' order must not depend on the tasks'
-    x, y = x[order], y[order]
-    forest = grow(x[y == 1] if (y == 1).any() else x, x)
-    return RuleModel(forest, threshold(forest.score(x[y == 1]), forest.score(x[y == 0])))
+    labelled = common.materialize(passed.join(common.usable_labels(labels, "quality", F.lit(True)), "doc_id").select("doc_id", "y", "x"))
+    counts = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
+    good, bad = counts.get(1, 0), counts.get(0, 0)
+    samples = _subsamples(labelled.where("y = 1"), good) if good else _subsamples(passed, n)
+    forest = grow_on(samples, np.array(ends[: len(FEATURES)]), np.array(ends[len(FEATURES) :]))
+    scores = common.materialize(_scored(labelled.select("y", "x"), RuleModel(forest, 0.0), "y int"))
+    return RuleModel(forest, threshold(scores, good, bad))
 
 
-def judge(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``doc_id``, the base counts, ``base_failed``, ``anomaly`` and ``kept`` of every whole text."""
-    common.ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _judged(rows: DataFrame, model: RuleModel) -> DataFrame:
+    names = ["doc_id", *BASE, "base_failed"]
+    out = _scored(rows.select(*names, "x"), model, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean")
+    return out.select(*names, (~F.col("base_failed") & (F.col("s") < model.threshold)).alias("kept"), F.col("s").alias("anomaly"))
 
-    def run(batches):
-        model = shared.value
-        for batch in common.slices(batches, 1024):
-            found = [statistics(t) for part in common.slices([batch]) for t in part.column(1).to_pylist()]
-            base = np.array([b for b, _ in found], np.int64)
-            failed = np.array([fails(b) for b, _ in found])
-            anomaly = model.forest.score(np.array([f for _, f in found])) if model.forest else np.zeros(len(found))
-            kept = ~failed & (anomaly < model.threshold)
-            columns = [batch.column(0), *map(pa.array, base.T), pa.array(failed), pa.array(kept), pa.array(anomaly)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *BASE, "base_failed", "kept", "anomaly"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, anomaly double")
+def fit(docs: DataFrame, labels: DataFrame) -> RuleModel:
+    """Grow the forest and set the threshold, by all documents and labels."""
+    return _fitted(common.materialize(measured(docs)), labels)
+
+
+def judge(docs: DataFrame, model: RuleModel) -> DataFrame:
+    """``doc_id``, the base counts, ``base_failed``, ``anomaly`` and ``kept`` of every whole text."""
+    return _judged(measured(docs), model)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judge(docs, fit(docs, labels))
+    rows = common.materialize(measured(docs))
+    return _judged(rows, _fitted(rows, labels))

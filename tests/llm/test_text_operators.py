@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import bpe, licenses, pii, rules
@@ -184,6 +185,23 @@ def test_forest_isolates_outliers():
     assert forest.score(np.array([[9.0, 9, 9]]))[0] > np.quantile(forest.score(good), 0.99)
 
 
+def test_threshold_and_range_come_from_all_rows(spark):
+    rng = np.random.default_rng(4)
+    y = (rng.random(9_500) < 0.9).astype(int)
+    s = np.where(y == 1, rng.normal(0.45, 0.04, len(y)), rng.normal(0.55, 0.05, len(y))).round(3)
+    good, bad = s[y == 1], s[y == 0]
+    floor = np.quantile(good, rules.KEPT_GOOD, method="higher")
+    cuts = np.unique(s)
+    best = max(((bad >= c).sum() * len(good) + (good < c).sum() * len(bad), -c) for c in [*cuts[cuts > floor], cuts[-1] + 1e-9])
+    scores = spark.createDataFrame(list(zip(y.tolist(), s.tolist(), strict=True)), "y int, s double")
+    assert rules.threshold(scores, len(good), len(bad)) == pytest.approx((-best[1] + s[s < -best[1]].max()) / 2)
+    # one long document in 9,000 sets the range, whatever its id
+    words = " ".join(f"w{k}" for k in range(60))
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") == 4_321, F.lit("!" * 5_000 + " ")).otherwise(F.lit("")), F.lit(words)).alias("text"))
+    forest = rules.fit(docs, spark.createDataFrame([(k, 1, 0) for k in range(300)], "doc_id long, quality int, toxic int")).forest
+    assert (forest.value[forest.feature == rules.FEATURES.index("bang_share")] > 0).any()
+
+
 def test_rules_operator(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     out = rules.apply_rules(spark, docs, labels)
