@@ -12,7 +12,8 @@ smallest one, which joins groups of copies in a linear number of pairs. After
 union-find, only buckets that still hold several components go on; there, the sets of
 different components are compared: by signature, then, where those look near enough
 and the components are still apart, exactly, and in the bucket of the first band that
-the pair shares only. Of a bucket's links a forest is returned. A bucket is cut into
+the pair shares only. Sets move only for classes that have such a pair to compare. Of
+a bucket's links a forest is returned. A bucket is cut into
 tiles of a bounded number of shingles, each pair of tiles being a group of its own,
 whatever the bucket's size: a pair that shares but one band is compared there. The
 smallest document id names the component.
@@ -218,19 +219,61 @@ def links_with_leads(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "side").mapInArrow(_with_lead, "a long, b long")
 
 
+def _meeting(h: int, apart: bool, tile: np.ndarray, comp: np.ndarray, n: np.ndarray, sigs: np.ndarray):
+    """For rows in order of components: each row's place and those of the later ones that are to be compared with it here.
+
+    Those lie in other components (``apart``: and in the other tile), have sizes that
+    allow a link, signatures that look near enough, and share ``h`` as their first band.
+    """
+    least = SHARE[0] / SHARE[1] - SLACK
+    bands = band_hashes(sigs)
+    for k in range(len(comp)):
+        after = int(np.searchsorted(comp, comp[k], side="right"))
+        if after >= len(comp):
+            break
+        small, large = np.minimum(n[k], n[after:]), np.maximum(n[k], n[after:])
+        fit = SHARE[1] * small >= SHARE[0] * large
+        if apart:
+            fit &= tile[after:] != tile[k]
+        rest = after + np.flatnonzero(fit)
+        rest = rest[(sigs[rest] == sigs[k]).mean(axis=1) >= least]
+        if not len(rest):
+            continue
+        shared = bands[rest] == bands[k]
+        mine = bands[k].view(np.int64)[shared.argmax(axis=1)] == h
+        if mine.any():
+            yield k, rest[mine]
+
+
+_MET = "h long, i long, j long, tile long, id long, comp long, n long, sig binary"
+
+
+def _met(batches):
+    """The rows of each group that have a pair to be compared there: only their sets are needed."""
+    for (h, i, j), rows in _groups(batches, 3):
+        rows.sort(key=lambda r: (r[2], r[1]))
+        tile, _, comp, n, sig = zip(*rows, strict=True)
+        sigs = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, SLOTS)
+        hit = np.zeros(len(rows), bool)
+        for k, others in _meeting(h, i != j, np.array(tile), np.array(comp), np.array(n), sigs):
+            hit[k] = True
+            hit[others] = True
+        met = [(h, i, j, *rows[k]) for k in np.flatnonzero(hit).tolist()]
+        if met:
+            columns = [*(pa.array(c, pa.int64()) for c in list(zip(*met, strict=True))[:-1]), pa.array([r[-1] for r in met], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "i", "j", "tile", "id", "comp", "n", "sig"])
+
+
 def _across(batches):
     """A forest of the links between different components, of the pairs of tiles in each group.
 
-    ``first`` says that rows of one tile are compared with those of another; otherwise
-    the group holds one tile, whose rows are compared with each other.
+    Where ``i`` and ``j`` differ, rows of one tile are compared with those of another;
+    otherwise the group holds one tile, whose rows are compared with each other.
     """
-    least = SHARE[0] / SHARE[1] - SLACK
     for (h, i, j), rows in _groups(batches, 3):
         rows.sort(key=lambda r: (r[2], r[1]))
         tile, ids, comp, n, sig, found = zip(*rows, strict=True)
-        tile, comp, n = np.array(tile), np.array(comp), np.array(n)
         sigs = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, SLOTS)
-        bands = band_hashes(sigs)
         parent: dict[int, int] = {}
 
         def root(x: int, parent=parent) -> int:
@@ -239,39 +282,34 @@ def _across(batches):
             return x
 
         out: list[tuple[int, int]] = []
-        for k in range(len(ids)):
-            after = int(np.searchsorted(comp, comp[k], side="right"))
-            if after >= len(ids):
-                break
-            small, large = np.minimum(n[k], n[after:]), np.maximum(n[k], n[after:])
-            fit = SHARE[1] * small >= SHARE[0] * large
-            if i != j:
-                fit &= tile[after:] != tile[k]
-            rest = after + np.flatnonzero(fit)
-            rest = rest[(sigs[rest] == sigs[k]).mean(axis=1) >= least]
-            if not len(rest):
-                continue
-            shared = bands[rest] == bands[k]
-            own = bands[k].view(np.int64)
-            mine = own[shared.argmax(axis=1)] == h
+        for k, others in _meeting(h, i != j, np.array(tile), np.array(comp), np.array(n), sigs):
             a = np.frombuffer(found[k], np.uint64)
-            for other in rest[mine].tolist():
-                x, y = root(int(comp[k])), root(int(comp[other]))
+            for other in others.tolist():
+                x, y = root(comp[k]), root(comp[other])
                 if x != y and _linked(a, np.frombuffer(found[other], np.uint64)):
                     parent[max(x, y)] = min(x, y)
                     out.append((ids[k], ids[other]))
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
-def links_across(rows: DataFrame, sigs: DataFrame, found: DataFrame) -> DataFrame:
-    """Links between different components of buckets. ``rows``: ``h, id, comp, n``; ``sigs``: ``id, sig``."""
+def met(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``h, i, j, tile, id, comp, n, sig`` of the rows that have a pair to be compared in tiles ``i`` and ``j`` of bucket ``h``."""
     # the buckets that hold several components, with the tiles they are cut into
     sizes = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.sum("n") / TILE).alias("tiles"))
     sizes = common.materialize(sizes.where("x < y").select("h", "tiles"))
     dealt = rows.join(sizes, "h").join(sigs, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     dealt = dealt.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    dealt = dealt.join(found, "id").select("h", "i", "j", "tile", "id", "comp", "n", "sig", "shingles")
+    dealt = dealt.select("h", "i", "j", "tile", "id", "comp", "n", "sig")
+    return dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_met, _MET)
+
+
+def links_across(rows: DataFrame, sigs: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between different components of buckets. ``rows``: ``h, id, comp, n``; ``sigs``: ``id, sig``.
+
+    Signatures alone say which rows meet another; sets move for those only.
+    """
+    dealt = common.materialize(met(rows, sigs)).join(found, "id").select("h", "i", "j", "tile", "id", "comp", "n", "sig", "shingles")
     return dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_across, "a long, b long")
 
 

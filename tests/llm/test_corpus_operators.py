@@ -117,6 +117,28 @@ def test_one_shared_band_is_enough_in_buckets_of_any_size(spark, tile, monkeypat
     assert [tuple(r) for r in near_dup.links_across(rows, *frames).collect()] in ([(0, 1)], [(1, 0)])
 
 
+@pytest.mark.parametrize("tile", [near_dup.TILE, 400])
+def test_sets_move_only_for_rows_that_meet_another(spark, tile, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE", tile)
+    common.ship(spark)
+    rng = np.random.default_rng(3)
+    base = np.arange(near_dup.SLOTS, dtype=np.uint16)
+    sigs = [base.copy() for _ in range(12)]
+    for k in range(12):  # all share the first band; 0 to 2 are near each other, 3 is of another size, 4 and 5 are one component
+        sigs[k][4:] = 10_000 + k if k > 5 else sigs[k][4:]
+        sigs[k][4:] = rng.permutation(sigs[k][4:]) if k in (4, 5) else sigs[k][4:]
+        sigs[k][4 + k :: 16] += 1_000 if k < 3 else 0
+    sigs[5] = sigs[4]
+    n = [100, 100, 100, 300, *[100] * 8]
+    h = int(near_dup.band_hashes(np.array(sigs))[0].view(np.int64)[0])
+    rows = spark.createDataFrame([(h, k, 4 if k == 5 else k, n[k]) for k in range(12)], "h long, id long, comp long, n long")
+    sig = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sigs)], "id long, sig binary")
+    assert {r["id"] for r in near_dup.met(rows, sig).collect()} == {0, 1, 2}
+    found = [np.arange(k, 100 + k, dtype=np.uint64).tobytes() for k in range(12)]
+    found = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(found)], "id long, shingles binary")
+    assert groups([(r["a"], r["b"]) for r in near_dup.links_across(rows, sig, found).collect()], range(12)) == {k: 0 if k < 3 else k for k in range(12)}
+
+
 def test_near_duplicates_with_odd_ids(spark):
     a, b, c = ("one two three four five six seven eight", "nine ten eleven twelve a b c d e f", "g h i j k l m n")
     rows = [(5, a), (2, a), (2, a), (7, b), (7, c), (3, b), (9, c), (None, a), (None, None), (11, None)]
